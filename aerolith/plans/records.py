@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import archive, drift
 from ..operators.exactly_once import exactly_once, instant_seconds, later_copies
+from ..operators.spikes import implausible, judged, scatter
 from ..operators.trips import StopRule, clean_pings, stops_and_trips
 from .tables import table
 
@@ -32,11 +34,64 @@ def p2_exactly_once(spark: SparkSession, d: str) -> DataFrame:
     return kept.withColumn("kafka_ts", F.unix_micros("kafka_ts"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = implausible(table(spark, d, "aircraft_positions"), "icao24", instant_seconds("timestamp"), "log_seq")
+    return found.select("log_seq", "field").distinct()
+
+
+def p4_usual_scatter(spark: SparkSession, d: str) -> DataFrame:
+    """How each aircraft's readings usually scatter around its course, by field and hour of the day."""
+    passed = judged(table(spark, d, "aircraft_positions"), "icao24", instant_seconds("timestamp"), "log_seq")
+    return scatter(passed, ["k", "field", "hour"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    led = drift.ledger(table(spark, d, "raw_records"), "raw_file_id", "lane", "file_seq")
+    return drift.changes(led).withColumnRenamed("file", "raw_file_id").distinct()
+
+
+def p5_one_table(spark: SparkSession, d: str) -> DataFrame:
+    """All raw records in the schema of bronze_positions, with what didn't fit and the squawk replayed from it."""
+    t = drift.ingest(table(spark, d, "raw_records"), ["rec_id", "raw_file_id"])
+    return drift.replay(t, {"squawk": "string"}).withColumn("timestamp", F.unix_micros("timestamp"))
+
+
+_CONTENT = ["icao24", "latitude", "longitude", "flight", "reg", "timestamp", "date"]
+
+
+def p6_plan(spark: SparkSession, d: str) -> DataFrame:
+    return archive.plan(
+        table(spark, d, "bronze_positions"), table(spark, d, "bronze_files"), "file_id", "file_path", "n_bytes", _CONTENT
+    ).withColumnRenamed("file", "file_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_plan(spark, d).where("action <> 'keep'").select("file_id", "action")
+
+
+def p6_archive(spark: SparkSession, d: str) -> DataFrame:
+    """The small files packed into blocks by directory: the index, each member read back out of its block."""
+    rows = table(spark, d, "bronze_positions")
+    merge = p6_plan(spark, d).where("action = 'merge'").select(F.col("file_id").alias("file"), "path")
+    content = archive.row_bytes(rows, "file_id", "pos_id").join(merge, "file")
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    index, blocks = archive.pack(content.withColumn("folder", folder), "folder")
+    back = archive.unpack(index, blocks).select("file", "intact")
+    return index.join(back, "file").withColumnRenamed("file", "file_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_stops_and_trips": p1_stops_and_trips,
     "p2_found": p2_found,
     "p2_exactly_once": p2_exactly_once,
+    "p4_found": p4_found,
+    "p4_usual_scatter": p4_usual_scatter,
+    "p5_found": p5_found,
+    "p5_one_table": p5_one_table,
+    "p6_found": p6_found,
+    "p6_plan": p6_plan,
+    "p6_archive": p6_archive,
 }
 
 _P2 = f"""
@@ -54,4 +109,56 @@ ORACLES = {
         SELECT log_seq, batch_id, icao24, lat, lon, alt_baro, gs, track, flight, reg, src, "timestamp", epoch_us(kafka_ts) AS kafka_ts
         FROM m
         QUALIFY k IS NULL OR s IS NULL OR row_number() OVER (PARTITION BY k, s ORDER BY log_seq) = 1""",
+    "p5_found": """
+        WITH rec AS (
+            SELECT raw_file_id AS f, lane, file_seq, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM raw_records
+        ), ok AS (SELECT * FROM rec WHERE json_type(j) = 'OBJECT'),
+        files AS (SELECT f, lane, row_number() OVER (PARTITION BY lane ORDER BY file_seq) AS i FROM (SELECT DISTINCT f, lane, file_seq FROM ok)),
+        e AS (SELECT f, unnest(json_keys(j)) AS name, j FROM ok),
+        t AS (
+            SELECT f, name, CASE json_type(json_extract(j, '$."' || name || '"'))
+                WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind
+            FROM e
+        ), n AS (
+            SELECT f, name, max(kind) AS kind, CASE
+                WHEN name IN ('icao24', 'icao', 'hex') THEN 'icao24'
+                WHEN lower(name) IN ('latitude', 'lat') THEN 'latitude'
+                WHEN lower(name) IN ('longitude', 'lon', 'lng') THEN 'longitude'
+                WHEN name IN ('flight', 'flightId', 'callsign') THEN 'flight'
+                WHEN name IN ('reg', 'registration') THEN 'reg'
+                WHEN name IN ('timestamp', 'ts', 'seen_at') THEN 'timestamp'
+                WHEN name IN ('alt_baro', 'altBaro', 'alt') THEN 'alt_baro'
+                WHEN name IN ('gs', 'ground_speed') THEN 'gs'
+                WHEN name IN ('track', 'heading') THEN 'track'
+                WHEN name IN ('src', 'feed') THEN 'src'
+                ELSE name END AS field
+            FROM t GROUP BY f, name
+        ), a AS (SELECT lane, i, n.f, field, name, kind FROM n JOIN files USING (f)),
+        pairs AS (SELECT b.f AS f, b.lane, b.i FROM files b WHERE b.i > 1),
+        now_ AS (SELECT p.f AS raw_file_id, p.lane, p.i, a.field, a.name, a.kind FROM pairs p JOIN a ON a.f = p.f),
+        was AS (SELECT p.f AS raw_file_id, a.field, a.name, a.kind FROM pairs p JOIN a ON a.lane = p.lane AND a.i = p.i - 1),
+        both_ AS (
+            SELECT coalesce(x.raw_file_id, y.raw_file_id) AS raw_file_id, coalesce(x.field, y.field) AS field,
+                   x.name AS n1, y.name AS n0, x.kind AS k1, y.kind AS k0
+            FROM now_ x FULL JOIN was y ON x.raw_file_id = y.raw_file_id AND x.field = y.field
+        )
+        SELECT raw_file_id, field, 'added' AS change FROM both_ WHERE n0 IS NULL
+        UNION ALL SELECT raw_file_id, field, 'removed' FROM both_ WHERE n1 IS NULL
+        UNION ALL SELECT raw_file_id, field, 'renamed' FROM both_ WHERE n0 <> n1
+        UNION ALL SELECT raw_file_id, field, 'retyped' FROM both_ WHERE k0 <> k1""",
+    "p6_found": """
+        WITH live AS (
+            SELECT file_id, n_bytes FROM bronze_files
+            WHERE len(list_filter(string_split(file_path, '/'), p -> starts_with(p, '_') OR starts_with(p, '.'))) = 0
+        ), r AS (
+            SELECT DISTINCT file_id AS f, icao24, latitude, longitude, flight, reg, "timestamp" AS t, "date" AS d,
+                   md5(concat_ws('|', coalesce('v' || icao24, 'n'), coalesce('v' || latitude, 'n'), coalesce('v' || longitude, 'n'),
+                       coalesce('v' || flight, 'n'), coalesce('v' || reg, 'n'), coalesce('v' || epoch_us("timestamp"), 'n'),
+                       coalesce('v' || "date", 'n'))) AS h
+            FROM bronze_positions WHERE file_id IN (SELECT file_id FROM live)
+        ), n AS (SELECT f, count(*) AS n FROM r GROUP BY f),
+        held AS (SELECT a.f, b.f AS g, count(*) AS m FROM r a JOIN r b ON a.h = b.h AND b.f < a.f GROUP BY a.f, b.f),
+        gone AS (SELECT DISTINCT held.f FROM held JOIN n ON held.f = n.f AND held.m = n.n)
+        SELECT file_id, CASE WHEN file_id IN (SELECT f FROM gone) THEN 'drop' ELSE 'merge' END AS action
+        FROM live WHERE file_id IN (SELECT f FROM n) AND (file_id IN (SELECT f FROM gone) OR n_bytes < 16384)""",
 }
