@@ -76,9 +76,10 @@ def ledger(df: DataFrame, file: str, lane: str, seq: str, payload: str = "payloa
         "lane", "seq", "file", (F.row_number().over(w) - 1).alias("idx"), F.lead("file").over(w).alias("next_file"),
         F.lead(F.lit(True)).over(w).alias("has_next"),
     )
-    same = [fields[c].eqNullSafe(files[c]) for c in ("lane", "seq", "file")]
+    files = files.withColumnsRenamed({"lane": "_lane", "seq": "_seq", "file": "_file"})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("lane", "seq", "file")]
     return fields.join(files, same).select(
-        fields["lane"], fields["file"], "idx", "next_file", F.coalesce("has_next", F.lit(False)).alias("has_next"), "field", "b.name", "b.type"
+        "lane", "file", "idx", "next_file", F.coalesce("has_next", F.lit(False)).alias("has_next"), "field", "b.name", "b.type"
     )
 
 
@@ -101,6 +102,14 @@ def changes(led: DataFrame) -> DataFrame:
     return x.select("c.file", "field", "c.change")
 
 
+def _value_for(column: str):
+    return lambda e: (e["field"] == column) & ~F.is_variant_null(e["value"])
+
+
+def _named(column: str, aliases: dict, is_it: bool):
+    return lambda k, v: (canonical(k, aliases) == column) == F.lit(is_it)
+
+
 def _instant(v: Column) -> Column:
     """Epoch seconds or milliseconds, as number or text, or a date and time as text, in UTC."""
     num = F.expr("try_cast(_v AS double)")
@@ -124,7 +133,7 @@ def ingest(
     out, failed = [], []
     for c, kind in target.items():
         # the first non-null value under any of the names
-        v = F.try_element_at(F.filter("_e", lambda e, c=c: (e["field"] == c) & ~F.is_variant_null(e["value"])), F.lit(1))["value"]
+        v = F.try_element_at(F.filter("_e", _value_for(c)), F.lit(1))["value"]
         rec = rec.withColumn("_v", v)
         cast = _instant(F.col("_v")) if kind == "timestamp" else F.expr(f"try_cast(_v AS {kind})")
         rec = rec.withColumn(f"_t_{c}", cast)
@@ -145,9 +154,9 @@ def replay(df: DataFrame, approved: dict[str, str], aliases: dict = ALIASES) ->
     got = F.from_json("_rescued", "map<string,string>")
     df = df.withColumn("_m", got)
     for c, kind in approved.items():
-        named = F.try_element_at(F.map_values(F.map_filter("_m", lambda k, v, c=c: canonical(k, aliases) == c)), F.lit(1))
+        named = F.try_element_at(F.map_values(F.map_filter("_m", _named(c, aliases, True))), F.lit(1))
         df = df.withColumn("_x", named).withColumn(c, F.expr(f"try_cast(try_parse_json(_x) AS {kind})"))
         moved = F.col(c).isNotNull()
-        df = df.withColumn("_m", F.when(moved, F.map_filter("_m", lambda k, v, c=c: canonical(k, aliases) != c)).otherwise(F.col("_m")))
+        df = df.withColumn("_m", F.when(moved, F.map_filter("_m", _named(c, aliases, False))).otherwise(F.col("_m")))
     rest = F.when(F.size("_m") > 0, F.to_json("_m"))
     return df.withColumn("_rescued", rest).drop("_m", "_x")

@@ -149,7 +149,7 @@ ORACLES = {
     "p6_found": """
         WITH live AS (
             SELECT file_id, n_bytes FROM bronze_files
-            WHERE len(list_filter(string_split(file_path, '/'), p -> starts_with(p, '_') OR starts_with(p, '.'))) = 0
+            WHERE len(list_filter(string_split(file_path, '/'), lambda p: starts_with(p, '_') OR starts_with(p, '.'))) = 0
         ), r AS (
             SELECT DISTINCT file_id AS f, icao24, latitude, longitude, flight, reg, "timestamp" AS t, "date" AS d,
                    md5(concat_ws('|', coalesce('v' || icao24, 'n'), coalesce('v' || latitude, 'n'), coalesce('v' || longitude, 'n'),
