@@ -15,7 +15,8 @@ WHITE_SPACE = (
 def strip(c: Column | str) -> Column:
     """All leading and trailing white space gone, not only blanks."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.trim(c, F.lit(WHITE_SPACE))
+    # trimming by a set of characters is dear; few values need it
+    return F.when(c.rlike(f"^[{WHITE_SPACE}]|[{WHITE_SPACE}]$"), F.trim(c, F.lit(WHITE_SPACE))).otherwise(c)
 
 
 def entity_key(c: Column | str) -> Column:

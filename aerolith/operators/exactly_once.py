@@ -29,31 +29,27 @@ def instant_seconds(epoch: Column | str) -> Column:
     return F.when(F.abs(e) >= MILLIS_FROM, F.floor(e / F.lit(1000))).otherwise(e).cast("bigint")
 
 
-def _permuted(x: Column) -> Column:
-    x = x.bitwiseXOR(F.shiftleft(x, 13))
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
-    return x.bitwiseXOR(F.shiftleft(x, 17))
-
-
-def quotient_and_remainder(key: Column, second: Column, quotient_bits: int = 12) -> list[Column]:
-    """The columns _q, _r of a packed identifier and _k, _s of one that doesn't fit; exact and reversible."""
-    fits = key.rlike("^[0-9a-f]{6}$") & second.between(0, (1 << 39) - 1)
-    packed = F.when(fits, F.shiftleft(F.conv(key, 16, 10).cast("bigint"), 39).bitwiseOR(second))
-    mixed = _permuted(packed)
-    return [
-        F.shiftrightunsigned(mixed, 64 - quotient_bits).cast("int").alias("_q"),
-        mixed.bitwiseAND(F.lit((1 << (64 - quotient_bits)) - 1)).alias("_r"),
-        F.when(~fits, key).alias("_k"),
-        F.when(~fits, second).alias("_s"),
-    ]
+def identified(df: DataFrame, key: Column, second: Column, quotient_bits: int = 12) -> DataFrame:
+    """df with the quotient _q and remainder _r of a packed identifier, and _k, _s of one that doesn't fit. Exact and
+    reversible. Each step is a projection of its own, so that none is computed twice."""
+    fits = F.col("_k").rlike("^[0-9a-f]{6}$") & F.col("_s").between(0, (1 << 39) - 1)
+    df = df.withColumns({"_k": key, "_s": second}).withColumn("_fits", fits)
+    df = df.withColumn("_r", F.when(F.col("_fits"), F.shiftleft(F.conv("_k", 16, 10).cast("bigint"), 39).bitwiseOR(F.col("_s"))))
+    for shift, by in ((F.shiftleft, 13), (F.shiftrightunsigned, 7), (F.shiftleft, 17)):
+        df = df.withColumn("_r", F.col("_r").bitwiseXOR(shift("_r", by)))
+    return df.withColumns({
+        "_q": F.shiftrightunsigned("_r", 64 - quotient_bits).cast("int"),
+        "_r": F.col("_r").bitwiseAND(F.lit((1 << (64 - quotient_bits)) - 1)),
+        "_k": F.when(~F.col("_fits"), F.col("_k")),
+        "_s": F.when(~F.col("_fits"), F.col("_s")),
+    }).drop("_fits")
 
 
 def first_copies(df: DataFrame, key: str, instant: Column, order: str, quotient_bits: int = 12) -> DataFrame:
     """The value of `order` of the first copy of every identified message: (first)."""
     k = entity_key(key)
-    ident = df.where(k.isNotNull() & instant.isNotNull()).select(
-        *quotient_and_remainder(k, instant, quotient_bits), F.col(order).alias("_o")
-    )
+    ident = identified(df.select(F.col(order).alias("_o"), k.alias("_key"), instant.alias("_at")), F.col("_key"), F.col("_at"), quotient_bits)
+    ident = ident.where("_key IS NOT NULL AND _at IS NOT NULL")
     return ident.groupBy("_q", "_r", "_k", "_s").agg(F.min("_o").alias("first")).select("first")
 
 
@@ -72,8 +68,7 @@ def exactly_once(df: DataFrame, key: str, instant: Column, order: str, quotient_
     known = k.isNotNull() & instant.isNotNull()
     row = F.struct(F.col(order).alias("_o"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("_row"))
     kept = (
-        df.where(known)
-        .select(*quotient_and_remainder(k, instant, quotient_bits), row.alias("_m"))
+        identified(df.where(known).select(row.alias("_m"), k.alias("_key"), instant.alias("_at")), F.col("_key"), F.col("_at"), quotient_bits)
         .groupBy("_q", "_r", "_k", "_s")
         .agg(F.min("_m").alias("_m"))
         .select(*[F.col(f"_m._row.c{i}").alias(c) for i, c in enumerate(df.columns)])
