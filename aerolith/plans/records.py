@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import archive, drift
 from ..operators.exactly_once import exactly_once, instant_seconds, later_copies
+from ..functions.identity import entity_key
+from ..operators.regions import near_pairs
 from ..operators.spikes import implausible, judged, scatter
 from ..operators.trips import StopRule, clean_pings, stops_and_trips
 from .tables import table
@@ -34,6 +36,11 @@ def p2_exactly_once(spark: SparkSession, d: str) -> DataFrame:
     return kept.withColumn("kafka_ts", F.unix_micros("kafka_ts"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = near_pairs(table(spark, d, "stream_scores"), "score_id", entity_key("icao24"), "latitude", "longitude", "evt_ts", 1.0, 120)
+    return pairs.withColumnsRenamed({"id_a": "score_id_a", "id_b": "score_id_b"})
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = implausible(table(spark, d, "aircraft_positions"), "icao24", instant_seconds("timestamp"), "log_seq")
     return found.select("log_seq", "field").distinct()
@@ -85,6 +92,7 @@ QUERIES = {
     "p1_stops_and_trips": p1_stops_and_trips,
     "p2_found": p2_found,
     "p2_exactly_once": p2_exactly_once,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_usual_scatter": p4_usual_scatter,
     "p5_found": p5_found,
@@ -109,6 +117,14 @@ ORACLES = {
         SELECT log_seq, batch_id, icao24, lat, lon, alt_baro, gs, track, flight, reg, src, "timestamp", epoch_us(kafka_ts) AS kafka_ts
         FROM m
         QUALIFY k IS NULL OR s IS NULL OR row_number() OVER (PARTITION BY k, s ORDER BY log_seq) = 1""",
+    "p3_found": f"""
+        WITH r AS (
+            SELECT score_id AS id, {KEY_SQL} AS k, radians(latitude) AS a, radians(longitude) AS o, evt_ts AS s, evt_ts // 120 AS t
+            FROM stream_scores WHERE abs(latitude) <= 90 AND abs(longitude) <= 180 AND evt_ts IS NOT NULL
+        ), b AS (SELECT *, unnest([t - 1, t, t + 1]) AS u FROM r WHERE k IS NOT NULL)
+        SELECT x.id AS score_id_a, y.id AS score_id_b
+        FROM r x JOIN b y ON x.t = y.u AND x.id < y.id AND x.k <> y.k AND abs(x.s - y.s) <= 120
+        WHERE 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((y.a - x.a) / 2), 2) + cos(x.a) * cos(y.a) * pow(sin((y.o - x.o) / 2), 2)))) <= 1.0""",
     "p5_found": """
         WITH rec AS (
             SELECT raw_file_id AS f, lane, file_seq, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM raw_records
