@@ -95,7 +95,8 @@ class Encoder:
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         b = split(texts)
-        upto = np.r_[0, np.cumsum(self.count[self._number(b)])]
+        number = self._number(b)  # first: it may replace the arrays
+        upto = np.r_[0, np.cumsum(self.count[number])]
         return np.diff(upto[b.first])
 
 

@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import table
-from . import bytebpe
+from . import bytebpe, mixing
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bytebpe.encoded(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0].select("doc_id", "source", "tokens", "copies")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 QUERIES = {
     "p7_ids": p7_ids,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
 }
 
 ORACLES: dict[str, str] = {}
