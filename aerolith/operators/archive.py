@@ -47,8 +47,8 @@ def record_index(rows: DataFrame, files: DataFrame, file: str, path: str, column
 
 
 def contained(index: DataFrame) -> DataFrame:
-    """(file, within): files all of whose records are in one single file with a smaller id; `within` is the first."""
-    index = materialise(index)
+    """(file, within): files all of whose records are in one single file with a smaller id; `within` is the first.
+    index is read several times: it should be written or checkpointed."""
     firsts = index.groupBy("h1", "h2").agg(F.min("file").alias("first"), F.count(F.lit(1)).alias("files"))
     # whoever has a record first is contained in nothing: this settles nearly every file
     maybe = index.select("file").distinct().join(firsts.select(F.col("first").alias("file")).distinct(), "file", "left_anti")
