@@ -17,6 +17,7 @@ can be learned: ValueError.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -36,14 +37,15 @@ class Rule:
     bits: int = 15  # of the hashed n-grams
     longest_gram: int = 4
     block_chars: int = 240  # of a training example
-    alpha: float = 0.5
+    alpha: float = 0.1
     beta: float = 1.0
-    l1: float = 0.02
+    l1: float = 0.01
     l2: float = 0.001
     batch: int = 32
     rounds: int = 2
-    doubt: float = 0.2  # blocks whose label gets no more than this from the first model are left out
-    change: float = 4.0  # cost of a change of language, in nats
+    doubt: float = 0.5  # blocks whose label gets no more than this from the first model are left out
+    change: float = 6.0  # cost of a change of language, in nats
+    change_at_seam: float = 1.0  # the same at a fence, rule or tag
     chars_per_nat: float = 25.0  # a line can speak against a language by at most its length over this
     block: int = 300  # least characters of a block
 
@@ -58,6 +60,10 @@ def grams(word: bytes, longest: int, mask: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(g) & mask for g in out), np.int64, len(out))
 
 
+#: Tags between which another language stands in HTML.
+TAGS = re.compile(rb"</?(?:script|style)\b[^>]*>", re.I)
+
+
 @dataclass
 class Lines:
     text: np.ndarray  # number of the text of each line
@@ -66,6 +72,7 @@ class Lines:
     chars: np.ndarray  # characters up to the first byte of each line, and up to its end
     ends: np.ndarray
     silent: np.ndarray  # comment, heading, fence or blank
+    seam: np.ndarray  # a fence, rule or tag between blocks: the language may change here
 
 
 def lines_of(b: Batch) -> Lines:
@@ -77,7 +84,7 @@ def lines_of(b: Batch) -> Lines:
     start = np.flatnonzero(cut[:n])
     if not len(start):
         z = np.zeros(0, np.int64)
-        return Lines(z, z, z, z, z, z.astype(bool))
+        return Lines(z, z, z, z, z, z.astype(bool), z.astype(bool))
     stop = np.r_[start[1:], n]
     upto = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
     ink = np.flatnonzero(data > 32)
@@ -93,10 +100,16 @@ def lines_of(b: Batch) -> Lines:
     silent |= is_(0, "#") & ((c[1] <= 32) | is_(1, "#") | is_(1, "!"))
     silent |= is_(0, "-") & is_(1, "-") & ((c[2] <= 32) | is_(2, "-"))
     silent |= is_(0, "<") & is_(1, "!") & is_(2, "-")
+    seam = is_(0, "-") & is_(1, "-") & is_(2, "-") | (is_(0, "#") & is_(1, " ") & is_(2, "-") & is_(3, "-"))
     for f in "`~'\"=":
-        silent |= is_(0, f) & is_(1, f) & is_(2, f)
+        seam |= is_(0, f) & is_(1, f) & is_(2, f)
+    for m in TAGS.finditer(b.data.tobytes()):
+        i = np.searchsorted(start, m.start(), side="right") - 1
+        seam[i] = True
+        silent[i] |= first[i] == m.start()
+    silent |= seam & ~blank & (is_(0, "-") | is_(0, "#") | is_(0, "`") | is_(0, "~") | is_(0, "'") | is_(0, '"') | is_(0, "="))
     text = np.searchsorted(b.text_at, start, side="right") - 1
-    return Lines(text, start, stop, upto[start], upto[stop], silent)
+    return Lines(text, start, stop, upto[start], upto[stop], silent, seam & ~blank)
 
 
 def _spoken(b: Batch) -> np.ndarray:
@@ -243,9 +256,9 @@ def train(texts: list[str], labels: list[int], names: list[str], rule: Rule = Ru
     return Model(names, rule, m.weights(), idf, m.bias(), temperature)
 
 
-def best_path(score: np.ndarray, text: np.ndarray, change: float) -> np.ndarray:
-    """The best language of each line: scores (lines, languages), lines in order of text. All texts go forward
-    together, a line of each at a time."""
+def best_path(score: np.ndarray, text: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """The best language of each line: scores (lines, languages), lines in order of text, cost of a change before each
+    line. All texts go forward together, a line of each at a time."""
     n, k = score.shape
     state = np.zeros(n, np.int16)
     if not n:
@@ -263,9 +276,9 @@ def best_path(score: np.ndarray, text: np.ndarray, change: float) -> np.ndarray:
         a = active[j]
         v_a = v[:a]
         top = v_a.argmax(axis=1)
-        other = v_a[np.arange(a), top] - change
-        keep = v_a >= other[:, None]
         rows = first[:a] + j
+        other = v_a[np.arange(a), top] - change[rows]
+        keep = v_a >= other[:, None]
         stay[rows], jump[rows] = keep, top
         v[:a] = np.where(keep, v_a, other[:, None]) + score[rows]
     now = np.zeros(len(first), np.int16)
@@ -323,7 +336,9 @@ class Reader:
         size = ln.ends[mine] - ln.chars[mine]
         logp = np.maximum(logp, -(size / r.chars_per_nat)[:, None])
         text = ln.text[mine]
-        state = best_path(logp, text, r.change)
+        seams = np.cumsum(ln.seam)[mine]
+        passed = np.r_[False, seams[1:] != seams[:-1]] | ln.seam[mine]
+        state = best_path(logp, text, np.where(passed, r.change_at_seam, r.change))
         # runs of one language in a text
         runs = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (state[1:] != state[:-1])])
         last = np.r_[runs[1:], len(text)] - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import table
-from . import bytebpe, mixing
+from . import bytebpe, language, mixing
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -20,10 +20,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(table(spark, d, "documents"), table(spark, d, "lang_names")).select("doc_id", "lang")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(table(spark, d, "documents"), table(spark, d, "lang_names"))
+
+
 QUERIES = {
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_segments": p9_segments,
 }
 
 ORACLES: dict[str, str] = {}
