@@ -21,8 +21,10 @@ def sliced(
     rows: int = 20_000,
     halo: int = 4,
     same: list[str] | None = None,
+    length: bool = False,
 ) -> DataFrame:
-    """df with _slice, _rn (number of the row in its entity's series, from 0) and _own (false for guests).
+    """df with _slice, _rn (number of the row in its entity's series, from 0) and _own (false for guests); with
+    `length` also _len, the number of rows of the entity.
 
     order must be total for a defined result. With `same`, only the first row of those that agree in the key and
     these columns (a prefix of order) stays."""
@@ -51,4 +53,7 @@ def sliced(
         F.when((pos >= rows - halo) & ((s + 1) * rows < F.col("_all")), F.array(s + 1)).otherwise(F.array().cast("array<bigint>")),
     )
     out = numbered.withColumn("_home", s).withColumn("_slice", F.explode(homes))
-    return out.withColumn("_own", F.col("_home") == F.col("_slice")).drop("_b", "_i", "_ok", "_ob", "_from", "_all", "_home")
+    out = out.withColumn("_own", F.col("_home") == F.col("_slice"))
+    if length:
+        out = out.withColumn("_len", F.col("_all"))
+    return out.drop("_b", "_i", "_ok", "_ob", "_from", "_all", "_home")
