@@ -91,6 +91,7 @@ def balanced(docs: DataFrame, sources: dict[str, Source], steps: int = 30, close
             rate = s.goal / s.tokens
             g = np.array([r["w0"] - rate * s.documents, r["w1"] - s.goal / (s.tokens / s.documents)])
             if np.abs(g).max() <= close * max(1.0, rate * s.documents):
+                s.a, s.b = round(s.a, 9), round(s.b, 9)  # sums in another order must give the same copies
                 del todo[r["source"]]
                 continue
             h = np.array([[r["h0"], r["h1"]], [r["h1"], r["h2"]]])
