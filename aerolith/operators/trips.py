@@ -39,6 +39,7 @@ class StopRule:
     outlier_km: float = 100.0
     rows_per_slice: int = 20_000
     cell_km: float = 0.25
+    strides: tuple[int, ...] = (8, 64)
 
 
 def clean_pings(df: DataFrame, key: str, lat: str, lon: str, second: Column, tie: str) -> DataFrame:
@@ -53,9 +54,13 @@ def clean_pings(df: DataFrame, key: str, lat: str, lon: str, second: Column, tie
 def marked_pings(pings: DataFrame, rule: StopRule) -> DataFrame:
     """Own pings of every slice without lone outliers: gap to the ping before, step to it, and the segment they
     belong to. A new segment begins where the aircraft goes over from resting to moving, rests at another place, or
-    was silent."""
+    was silent.
+
+    A ping that is further than the radius from one at most half the least duration before it, and from one at most
+    as long after it, is in no stop: whichever side of the ping holds half of the stop holds one of the two. Looking
+    a few strides back and ahead finds such pings where they are dense, so that a flight doesn't become one segment."""
     cut = sliced(
-        pings, "k", ["s", "tie", "lat", "lon"], F.floor(F.col("s") / 21600), rule.rows_per_slice, halo=4, same=["s"]
+        pings, "k", ["s", "tie", "lat", "lon"], F.floor(F.col("s") / 21600), rule.rows_per_slice, halo=max(rule.strides) + 4, same=["s"]
     ).select("k", "s", *[c.alias(n) for c, n in zip(sphere_km("lat", "lon"), "xyz")], "_slice", "_rn", "_own")
     w = W.partitionBy("k", "_slice").orderBy("_rn")
     p, here, q = F.struct("x", "y", "z"), [F.col(c) for c in "xyz"], None
@@ -69,8 +74,17 @@ def marked_pings(pings: DataFrame, rule: StopRule) -> DataFrame:
     cut = cut.select(
         "*", chord_km(here, prev).alias("step"), (F.col("s") - F.col("_p.s")).alias("gap"),
     ).drop("_p")
+    gone = {}
+    for name, look in (("back", F.lag), ("ahead", F.lead)):
+        far_off = F.lit(False)
+        for n in rule.strides:
+            o = look(F.struct("x", "y", "z", "s"), n).over(w)
+            off = (F.abs(F.col("s") - o["s"]) <= rule.least_s // 2) & (chord_km(here, [o[c] for c in "xyz"]) > near)
+            far_off = far_off | F.coalesce(off, F.lit(False))
+        gone[name] = far_off
+    cut = cut.withColumn("moving", gone["back"] & gone["ahead"])
     breaks = (F.col("step") > near) | (F.col("gap") > rule.silence_s) | F.col("step").isNull()
-    cut = cut.withColumn("brk", breaks)
+    cut = cut.withColumn("brk", breaks | F.col("moving") | F.lag("moving", 1, False).over(w))
     cut = cut.withColumn("still", ~F.col("brk") | ~F.coalesce(F.lead("brk").over(w), F.lit(True)))
     turn = F.when(F.col("still"), F.col("brk")).otherwise(
         F.coalesce(F.lag("still").over(w), F.lit(True)) | (F.coalesce(F.col("gap"), F.lit(0)) > rule.silence_s)
@@ -135,11 +149,17 @@ def longest_runs(s: np.ndarray, p: np.ndarray, near: float, least_s: int) -> lis
     on either side of each. s ascending seconds, p points (n, 3)."""
     n, first = len(s), 0
     lo = np.empty(n, np.int64)
+    low = high = p[0] if n else None  # box of the window: a point near all of it is near every point in it
     for j in range(n):
-        d = p[first:j] - p[j]
-        off = np.flatnonzero(np.einsum("ij,ij->i", d, d) > near * near)
-        if off.size:
-            first += int(off[-1]) + 1
+        here = p[j]
+        low, high = np.minimum(low, here), np.maximum(high, here)
+        reach = np.maximum(high - here, here - low)
+        if reach @ reach > near * near:
+            d = p[first:j] - here
+            off = np.flatnonzero(np.einsum("ij,ij->i", d, d) > near * near)
+            if off.size:
+                first += int(off[-1]) + 1
+            low, high = p[first : j + 1].min(axis=0), p[first : j + 1].max(axis=0)
         lo[j] = first
     found, todo = [], [(0, n - 1)]
     while todo:
