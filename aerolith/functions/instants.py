@@ -22,8 +22,7 @@ def text_seconds(text: Column | str) -> Column:
     """Whole seconds of a text: a number of seconds, or a date and time in UTC; null if it is neither."""
     t = _c(text)
     number = F.floor(t.try_cast("double")).cast("bigint")
-    stamp = t.try_cast("timestamp_ntz")
-    return F.coalesce(number, F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), stamp))
+    return F.coalesce(number, F.unix_timestamp(t.try_cast("timestamp_ntz")))  # of a time without zone: zone-free
 
 
 def event_second(rule: str, epoch: Column | str, ingest: Column | str | None = None, now: Column | None = None) -> Column:
@@ -50,7 +49,8 @@ def event_second(rule: str, epoch: Column | str, ingest: Column | str | None = N
 
 def local_text(second: Column | str, zone: str = "Asia/Kolkata", form: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """Wall-clock text in a zone, whatever the session's zone is."""
-    utc = F.timestamp_add("SECOND", _c(second), F.lit("1970-01-01").cast("timestamp_ntz"))
+    s = _c(second)
+    utc = utc_date(s).cast("timestamp_ntz") + F.make_dt_interval(secs=F.pmod(s, F.lit(86400)).cast("decimal(18,6)"))
     return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), form)
 
 

@@ -44,6 +44,6 @@ def clean(df: DataFrame, second: Column, tie_break: list[str], rule: str = "cano
 
 def union_drifted(frames: list[DataFrame], renames: dict[str, str] | None = None) -> DataFrame:
     """UNION ALL by name; columns under other names are renamed, missing ones are null."""
-    renames = renames or {"lat": "latitude", "lon": "longitude"}
+    renames = {"lat": "latitude", "lon": "longitude"} if renames is None else renames
     fixed = [f.withColumnsRenamed({a: b for a, b in renames.items() if a in f.columns and b not in f.columns}) for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), fixed)

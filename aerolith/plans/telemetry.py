@@ -49,7 +49,7 @@ def event_times(spark, d):
 
 def event_times_from_text(spark, d):
     e, i = table(spark, d, "events"), F.col("event_id")
-    second = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    second = F.unix_timestamp("ts")
     raw = F.when(i % 37 == 0, "bad").when(i % 31 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(second.cast("string"))
     e = e.select("event_id", raw.alias("raw"))
     return e.select("event_id", event_second("silver", "raw").alias("second"), event_second("silver", "raw", now=F.lit(1_700_000_000)).alias("second_or_now"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +28,46 @@ def listed(spark: SparkSession, folder: str) -> list[str]:
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path")
         return sorted(r[0] for r in files.collect())
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return []
 
 
+def _footers(batches):
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    for b in batches:
+        out = []
+        for path in b.column(0).to_pylist():
+            try:
+                uri = "file:///" + path[5:].lstrip("/") if path.startswith("file:/") else path
+                system, inner = fs.FileSystem.from_uri(uri)
+            except (pa.ArrowException, ValueError, OSError):
+                out.append("?")  # no such file system here; the driver asks Spark
+                continue
+            try:
+                out.append(pq.read_schema(inner, filesystem=system).remove_metadata().to_string(show_field_metadata=False))
+            except (pa.ArrowException, OSError):
+                out.append(None)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["path", "footer"])
+
+
+def footers(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
+    """The schema of each file as text, None where its footer can't be read. Footers are read by the executors; only
+    for file systems that Python can't open there, Spark is asked file by file."""
+    if not paths:
+        return {}
+    df = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(1000, len(paths) // 50)))
+    got = {r[0]: r[1] for r in df.mapInArrow(_footers, "path string, footer string").collect()}
+    for p, f in got.items():
+        if f == "?":
+            try:
+                got[p] = spark.read.parquet(p).schema.json()
+            except (PySparkException, Py4JJavaError):
+                got[p] = None
+    return got
+
+
 @dataclass
 class Drifted:
     frame: DataFrame
@@ -42,11 +80,8 @@ def by_schema(spark: SparkSession, folder: str) -> Drifted:
     can't be opened are skipped and named. QualityError if none can."""
     groups: dict[str, list[str]] = {}
     skipped = []
-    for path in listed(spark, folder):
-        try:
-            groups.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
-        except PySparkException:
-            skipped.append(path)
+    for path, footer in sorted(footers(spark, listed(spark, folder)).items()):
+        skipped.append(path) if footer is None else groups.setdefault(footer, []).append(path)
     if not groups:
         raise QualityError(f"no readable Parquet file in {folder}")
     frames = [typed(spark.read.parquet(*paths)) for paths in groups.values()]
@@ -63,7 +98,7 @@ def typed(df: DataFrame) -> DataFrame:
         if kind == "timestamp":
             second = event_second("feature", "timestamp")
         elif kind == "timestamp_ntz":
-            second = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("timestamp"))
+            second = F.unix_timestamp("timestamp")
         else:
             second = event_second("silver", F.col("timestamp").cast("string"))
     else:
@@ -74,13 +109,17 @@ def typed(df: DataFrame) -> DataFrame:
 
 def with_columns(spark: SparkSession, folder: str, required: list[str]) -> Drifted:
     """A projected read of the files that have all required columns; others are skipped, not filled with nulls."""
-    good, skipped = [], []
-    for path in listed(spark, folder):
-        try:
-            ok = set(required) <= set(spark.read.parquet(path).columns)
-        except PySparkException:
-            ok = False
-        (good if ok else skipped).append(path)
+    groups: dict[str | None, list[str]] = {}
+    for path, footer in sorted(footers(spark, listed(spark, folder)).items()):
+        groups.setdefault(footer, []).append(path)
+    good, frames, skipped = [], [], groups.pop(None, [])
+    for paths in groups.values():  # one scan for each distinct schema
+        one = spark.read.parquet(*paths)
+        if set(required) <= set(one.columns):
+            good += paths
+            frames.append(one.select(*required))
+        else:
+            skipped += paths
     if not good:
         raise QualityError(f"no file in {folder} has {required}")
-    return Drifted(spark.read.parquet(*good).select(*required), good, skipped)
+    return Drifted(union_drifted(frames, {}), good, skipped)
