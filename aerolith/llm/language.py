@@ -43,6 +43,9 @@ class Rule:
     l2: float = 0.001
     batch: int = 32
     rounds: int = 2
+    cleanings: int = 2
+    most_wrong: float = 0.35  # but never more than this part of a language's blocks
+    least_steps: int = 800  # small samples are gone through more often
     doubt: float = 0.5  # blocks whose label gets no more than this from the first model are left out
     change: float = 6.0  # cost of a change of language, in nats
     change_at_seam: float = 1.0  # the same at a fence, rule or tag
@@ -143,7 +146,7 @@ class _Ftrl:
     """Follow-the-regularised-leader, per coordinate, for a softmax."""
 
     def __init__(self, rows: int, k: int, rule: Rule):
-        self.z, self.n, self.r = np.zeros((rows, k)), np.zeros((rows, k)), rule
+        self.z, self.n, self.r = np.zeros((rows, k), np.float32), np.zeros((rows, k), np.float32), rule
         self.bz, self.bn = np.zeros(k), np.zeros(k)
 
     def _w(self, z, n, l1):
@@ -156,15 +159,18 @@ class _Ftrl:
     def bias(self):
         return self._w(self.bz, self.bn, 0.0)
 
-    def step(self, x: np.ndarray, u: np.ndarray, y: np.ndarray):
+    def step(self, x: np.ndarray, u: np.ndarray, y: np.ndarray, weight: np.ndarray):
         w, b = self.weights(u), self.bias()
         s = x @ w + b
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        g = x.T @ p
-        self.z[u] += g - (np.sqrt(self.n[u] + g * g) - np.sqrt(self.n[u])) / self.r.alpha * w
-        self.n[u] += g * g
+        p *= weight[y][:, None]
+        g = x.T @ p.astype(np.float32)
+        n = self.n[u]
+        more = n + g * g
+        self.z[u] += g - (np.sqrt(more) - np.sqrt(n)) / np.float32(self.r.alpha) * w.astype(np.float32)
+        self.n[u] = more
         g = p.sum(axis=0)
         self.bz += g - (np.sqrt(self.bn + g * g) - np.sqrt(self.bn)) / self.r.alpha * b
         self.bn += g * g
@@ -192,19 +198,21 @@ def train(texts: list[str], labels: list[int], names: list[str], rule: Rule = Ru
     block = block_of_line[line]
     lists = [grams(v, rule.longest_gram, size - 1) for v in words.values]
     count = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat, offset = np.concatenate(lists), np.cumsum(count) - count
+    flat, offset = np.concatenate(lists).astype(np.int32), np.cumsum(count) - count
     order = np.argsort(block, kind="stable")
     block, number = block[order], number[order]
     reps = count[number]
     pos = np.cumsum(reps) - reps
     feature = flat[np.repeat(offset[number] - pos, reps) + np.arange(reps.sum())]
-    owner = np.repeat(block, reps)
-    # IDF over the documents of the sample
-    seen = np.unique(text_of_block[owner] * size + feature) % size
-    df = np.bincount(seen, minlength=size)
-    idf = np.log((1 + len(texts)) / (1 + df)) + 1
-    norm = np.sqrt(np.bincount(owner, weights=idf[feature] ** 2, minlength=len(text_of_block)))
-    edge = np.searchsorted(owner, np.arange(len(text_of_block) + 1))
+    edge = np.r_[0, np.cumsum(np.bincount(block, weights=reps, minlength=len(text_of_block)))].astype(np.int64)
+    # IDF over the documents of the sample; the blocks of a text follow each other
+    df, turn = np.zeros(size, np.int64), np.flatnonzero(np.r_[True, text_of_block[1:] != text_of_block[:-1], True])
+    for a, z in zip(turn, turn[1:]):
+        df[np.unique(feature[edge[a] : edge[z]])] += 1
+    idf = (np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32)
+    square = np.r_[0, np.cumsum(idf[feature] ** 2, dtype=np.float64)]
+    norm = np.sqrt(np.maximum(square[edge[1:]] - square[edge[:-1]], 1e-12))
+    del square
     y = y_of[text_of_block]
     usable = np.flatnonzero(np.diff(edge) > 0)
     held = (text_of_block[usable] * 2654435761 % 997) % 5 == 0
@@ -215,14 +223,16 @@ def train(texts: list[str], labels: list[int], names: list[str], rule: Rule = Ru
         o = np.repeat(np.arange(len(rows)), edge[rows + 1] - edge[rows])
         u, inv = np.unique(f, return_inverse=True)
         x = np.bincount(o * len(u) + inv, weights=idf[f] / norm[rows][o], minlength=len(rows) * len(u)).reshape(len(rows), len(u))
-        return x, u
+        return x.astype(np.float32), u
 
     def learn(rows, rounds):
         m, rng = _Ftrl(size, k, rule), np.random.default_rng(7)
-        for _ in range(rounds):
+        there = np.bincount(y[rows], minlength=k)
+        weight = np.clip(there.max() / np.maximum(there, 1), 1, 5)  # languages with few blocks count for more
+        for _ in range(max(rounds, -(-rule.least_steps * rule.batch // max(1, len(rows))))):
             for part in np.array_split(rng.permutation(rows), max(1, len(rows) // rule.batch)):
                 x, u = dense(part)
-                m.step(x, u, y[part])
+                m.step(x, u, y[part], weight)
         return m
 
     def logits(m, rows):
@@ -234,11 +244,17 @@ def train(texts: list[str], labels: list[int], names: list[str], rule: Rule = Ru
                 s.append(x @ w[u] + bias)
         return np.concatenate(s) if s else np.zeros((0, k))
 
-    if len(fit):
-        s = logits(learn(fit, rule.rounds), fit)
+    every = fit
+    for _ in range(rule.cleanings if len(fit) else 0):
+        s = logits(learn(fit, 1), every)
         p = np.exp(s - s.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        fit = fit[p[np.arange(len(fit)), y[fit]] > rule.doubt]
+        own = p[np.arange(len(every)), y[every]] / p.sum(axis=1)
+        good = own > rule.doubt
+        for c in range(k):  # of no language more than the worst part: a language that isn't learned yet isn't wrong
+            mine = np.flatnonzero(y[every] == c)
+            spare = np.argsort(-own[mine], kind="stable")[: int(np.ceil(len(mine) * (1 - rule.most_wrong)))]
+            good[mine[spare]] = True
+        fit = every[good]
     m = learn(fit, rule.rounds)
     s = logits(m, out)
     keep = s.argmax(axis=1) == y[out] if len(out) else np.zeros(0, bool)

@@ -33,17 +33,14 @@ def test_segments(model):
     assert langs(model, comment) == [["go"]]
 
 
-def test_edges(model):
+def test_edges(spark, model):
     assert langs(model, "", "   \n\n", "// " + EN, "1 2 3") == [[], [], [], []]
     assert langs(model, "﻿" + EN * 5, (EN + "\r\n") * 5, EN * 20000) == [["en"]] * 3
     with pytest.raises(ValueError):
-        language.fitted(*_empty())
+        language.fitted(*_empty(spark))
 
 
-def _empty():
-    from pyspark.sql import SparkSession
-
-    s = SparkSession.getActiveSession()
+def _empty(s):
     return s.createDataFrame([], "doc_id bigint, text string, lang string"), s.createDataFrame([("go", "go", True)], "label string, lang string, is_code boolean")
 
 
