@@ -14,7 +14,7 @@ from ..ml import risk_model
 from ..operators import aggregates, motion, quality, report
 from ..operators.clean import clean, in_bounds, one_per_key, union_drifted
 from ..operators.exactly_once import instant_seconds
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialise
 from ..sources import wire
 from ..streaming import flows
 from .records import KEY_SQL
@@ -180,7 +180,7 @@ def hash_split(spark, d):
 
 
 def train_and_score(spark, d):
-    f = motion.features(silver(spark, d))
+    f = materialise(motion.features(silver(spark, d)))  # read by every pass of the fit, the test and the scores
     model, auc = risk_model.train(f, F.col("second"))
     out = risk_model.score(f, model)
     return out.groupBy("risk_label", "predicted_risk").agg(F.count(F.lit(1)).alias("rows")).withColumn("auc", F.lit(auc))
