@@ -389,7 +389,7 @@ SEGMENT = "array<struct<lang:string,first_line:int,last_line:int,n_chars:bigint,
 
 def labelled(docs: DataFrame, names: DataFrame, id_: str, lang: str) -> DataFrame:
     """(id_, known): the language a label stands for; null if it isn't one."""
-    known = names.select(F.lower(F.col("label")).alias("_label"), F.col("lang").alias("known"))
+    known = names.select(F.lower(F.col("label")).alias("_label"), F.col("lang").alias("known")).dropDuplicates(["_label"])
     return docs.select(F.col(id_), entity_key(lang).alias("_label")).join(known, "_label", "left").select(id_, "known")
 
 
@@ -397,10 +397,11 @@ def fitted(docs: DataFrame, names: DataFrame, id_: str = "doc_id", text: str = "
     """A model from at most rule.sample_per_language documents of each language: those with the lowest hash of their
     id. Only this bounded sample comes to the driver."""
     languages = [r[0] for r in names.select("lang").distinct().orderBy("lang").collect()]  # a fixed table
-    ids = labelled(docs, names, id_, lang).where(F.col("known").isNotNull())
+    ids = labelled(docs, names, id_, lang).where(F.col("known").isNotNull()).groupBy(id_).agg(F.min("known").alias("known"))
     w = W.partitionBy("known").orderBy(F.xxhash64(F.col(id_), F.lit("sample")), id_)
     ids = ids.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rule.sample_per_language).select(id_, "known")
-    rows = docs.select(id_, text).where(F.length(text) >= rule.block).join(F.broadcast(ids), id_).select(id_, text, "known").orderBy(id_, text).collect()
+    rows = docs.select(id_, text).where(F.length(text) >= rule.block).join(F.broadcast(ids), id_)
+    rows = rows.groupBy(id_, "known").agg(F.min(text).alias(text)).select(id_, text, "known").orderBy(id_).collect()  # one row per id
     if not rows:
         raise ValueError("no labelled document to learn from")
     place = {n: i for i, n in enumerate(languages)}
@@ -440,7 +441,7 @@ def mislabelled(docs: DataFrame, names: DataFrame, id_: str = "doc_id", text: st
     r = read(docs, fitted(docs, names, id_, text, lang, rule), [id_, lang], text).where(F.col("n_chars") >= rule.block)
     blocks = F.filter("segments", lambda s: s["n_chars"] >= rule.block)
     r = r.withColumn("_langs", F.array_distinct(F.transform(blocks, lambda s: s["lang"]))).withColumn("_b", blocks)
-    known = names.select(F.lower(F.col("label")).alias("_label"), F.col("lang").alias("_known"))
+    known = names.select(F.lower(F.col("label")).alias("_label"), F.col("lang").alias("_known")).dropDuplicates(["_label"])
     r = r.withColumn("_label", entity_key(lang)).join(known, "_label", "left")
     right = (F.size("_langs") == 1) & F.coalesce(F.col("_langs")[0] == F.col("_known"), F.lit(False))
     r = r.where(~right).select(F.col(id_), F.explode("_langs").alias("_lang"), "_b")

@@ -21,7 +21,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.mislabelled(table(spark, d, "documents"), table(spark, d, "lang_names")).select("doc_id", "lang")
+    return language.mislabelled(table(spark, d, "documents"), table(spark, d, "lang_names")).select("doc_id", "lang").distinct()
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
