@@ -124,7 +124,8 @@ def ingest(
 ) -> DataFrame:
     """keep + the typed target columns + date + _rescued (JSON object text of unknown and uncastable fields, whose
     values are JSON texts; for an unreadable payload its text under the key _payload; null if nothing is left over)."""
-    rec = opened(df, payload)
+    kept = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]  # no name of theirs can clash
+    rec = opened(df.select(*kept, F.col(payload).alias("_payload")), "_payload")
     entries = F.transform(
         F.map_entries("_fields"),
         lambda e: F.struct(canonical(e["key"], aliases).alias("field"), e["key"].alias("name"), e["value"].alias("value")),
@@ -143,10 +144,10 @@ def ingest(
     lost = F.array_compact(F.array(*[F.col(f"_f_{c}") for c in target]))
     left = F.filter("_e", lambda e: ~e["field"].isin(list(target)) | F.array_contains(lost, e["field"]))
     texts = F.map_from_entries(F.transform(left, lambda e: F.struct(e["name"], F.to_json(e["value"]))))
-    whole = F.to_json(F.create_map(F.lit("_payload"), F.col(payload)))
-    rescued = F.when(F.col("_fields").isNull() & F.col(payload).isNotNull(), whole).when(F.size(left) > 0, F.to_json(texts))
+    whole = F.to_json(F.create_map(F.lit("_payload"), F.col("_payload")))
+    rescued = F.when(F.col("_fields").isNull() & F.col("_payload").isNotNull(), whole).when(F.size(left) > 0, F.to_json(texts))
     day = [F.to_date("_t_timestamp").alias("date")] if "timestamp" in target else []
-    return rec.select(*keep, *out, *day, rescued.alias("_rescued"))
+    return rec.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *out, *day, rescued.alias("_rescued"))
 
 
 def replay(df: DataFrame, approved: dict[str, str], aliases: dict = ALIASES) -> DataFrame:

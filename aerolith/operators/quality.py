@@ -5,7 +5,6 @@ from __future__ import annotations
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -45,12 +44,12 @@ def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, keys: list[str], null_keys: bool = True) -> DataFrame:
-    """All rows of duplicate groups. With null_keys, groups with a null in the key too, by a window (one exchange);
-    without, by an inner join with the groups, in which null keys never match."""
-    if null_keys:
-        n = F.count(F.lit(1)).over(W.partitionBy(*keys))
-        return df.withColumn("_n", n).where("_n > 1").drop("_n")
-    return df.join(duplicate_groups(df, keys).select(*keys), keys, "inner")
+    """All rows of duplicate groups: an inner join with the groups, which are aggregated on the map side, so a group
+    of any size is split by adaptive skew joins. With null_keys null equals null; without, a group with a null in its
+    key never matches."""
+    groups = duplicate_groups(df, keys).select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) if null_keys else F.col(k) == F.col(f"_g{i}") for i, k in enumerate(keys)]
+    return df.join(groups, same, "inner").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def metrics(df: DataFrame, keys: list[str] | None = None, columns: list[str] | None = None, threshold: float = 0.05) -> DataFrame:

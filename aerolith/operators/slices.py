@@ -27,14 +27,15 @@ def sliced(
     `length` also _len, the number of rows of the entity.
 
     order must be total for a defined result. With `same`, only the first row of those that agree in the key and
-    these columns (a prefix of order) stays."""
+    these columns (a prefix of order) stays, by the column of order after them, which must be unique but for repeated
+    rows. That is a hash aggregate, filled on the map side, so a group of copies of any size is one row a task before
+    anything moves or is sorted."""
+    if same:
+        first = order[len(same)]
+        rest = [c for c in df.columns if c not in (key, *same, first)]
+        df = df.groupBy(key, *same).agg(F.min(first).alias(first), *[F.min_by(c, first).alias(c) for c in rest])
     base = df.withColumn("_b", bucket)
     w = W.partitionBy(key, "_b").orderBy(*order)
-    if same:
-        twin = F.lit(True)
-        for c in same:
-            twin = twin & F.lag(c).over(w).eqNullSafe(F.col(c))
-        base = base.withColumn("_twin", twin & (F.row_number().over(w) > 1)).where(~F.col("_twin")).drop("_twin")
     base = base.withColumn("_i", F.row_number().over(w))
     counts = base.groupBy(key, "_b").agg(F.max("_i").alias("_n"))
     before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

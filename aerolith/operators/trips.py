@@ -11,7 +11,7 @@ Nothing is held per entity: series are cut in slices (`slices.sliced`), a segmen
 are found by pointer jumping over distinct (entity, cell) nodes, of which each has a bounded number of neighbours.
 
 Defined results: pings without key, time or coordinates on the globe don't count; of several in one whole second the
-one with the lowest tie value counts (ties: any, the coordinates in order decide). An empty input gives an empty
+one with the lowest tie value counts (the tie value must be unique but for repeated rows). An empty input gives an empty
 output. Columns beyond the five named are ignored.
 """
 
@@ -61,7 +61,8 @@ def marked_pings(pings: DataFrame, rule: StopRule) -> DataFrame:
     a few strides back and ahead finds such pings where they are dense, so that a flight doesn't become one segment."""
     cut = sliced(
         pings, "k", ["s", "tie", "lat", "lon"], F.floor(F.col("s") / 21600), rule.rows_per_slice, halo=max(rule.strides) + 4, same=["s"]
-    ).select("k", "s", *[c.alias(n) for c, n in zip(sphere_km("lat", "lon"), "xyz")], "_slice", "_rn", "_own")
+    ).select("k", "s", "lat", "lon", "_slice", "_rn", "_own").repartition("k", "_slice")  # two coordinates move, not three
+    cut = cut.select("k", "s", *[c.alias(n) for c, n in zip(sphere_km("lat", "lon"), "xyz")], "_slice", "_rn", "_own")
     w = W.partitionBy("k", "_slice").orderBy("_rn")
     p, here, q = F.struct("x", "y", "z"), [F.col(c) for c in "xyz"], None
     cut = cut.withColumn("_p", F.lag(p).over(w)).withColumn("_q", F.lead(p).over(w))
