@@ -54,6 +54,11 @@ def local_text(second: Column | str, zone: str = "Asia/Kolkata", form: str = "yy
     return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), form)
 
 
+def run_stamp(second: Column | str) -> Column:
+    """yyyyMMddTHHmmssZ in UTC."""
+    return F.concat(local_text(second, "UTC", "yyyyMMdd"), F.lit("T"), local_text(second, "UTC", "HHmmss"), F.lit("Z"))
+
+
 def day_range(mode: str, now_second: int, offset_s: int = 19_800, start: int | None = None, end: int | None = None) -> tuple[int, int]:
     """(first, last) microsecond, inclusive, of `today`, `yesterday` or a `custom` range of days (start, end: epoch
     days in local time), for a zone `offset_s` from UTC. A day ends one millisecond before the next."""

@@ -21,12 +21,21 @@ def probability(features: Sequence[Column], weights: Sequence[float] = FIXED_WEI
 
 
 def normalise_risk(df: DataFrame, risk: str, out: str = "risk") -> DataFrame:
-    """Risks as fractions: percentages (99th percentile above 1) are divided by 100, then everything is cut to [0, 1];
-    null, NaN and texts that are no numbers become 0. The percentile is one row, joined by a constant."""
-    x = F.expr(f"try_cast(`{risk}` AS double)")
-    scale = df.select(F.when(F.expr(f"percentile(nullif(try_cast(`{risk}` AS double), double('NaN')), 0.99)") > 1, 100.0).otherwise(1.0).alias("_scale"))
-    both = df.withColumn("_x", F.nanvl(F.coalesce(x, F.lit(0.0)), F.lit(0.0))).join(F.broadcast(scale))  # one row
-    return both.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_x") / F.col("_scale")))).drop("_x", "_scale")
+    """Risks as fractions: percentages (99th percentile, between ranks, above 1) are divided by 100, then everything
+    is cut to [0, 1]; null, NaN and texts that are no numbers become 0.
+
+    Whether the percentile lies above 1 follows from four numbers, so no sketch and no list of values is needed: how
+    many values there are, how many are at most 1, the greatest of those and the least of the others."""
+    x = F.nullif(F.expr(f"try_cast(`{risk}` AS double)"), F.lit(float("nan")))
+    m = df.select(x.alias("x")).agg(
+        F.count("x").alias("n"), F.count_if(F.col("x") <= 1).alias("c"), F.max(F.when(F.col("x") <= 1, F.col("x"))).alias("a"), F.min(F.when(F.col("x") > 1, F.col("x"))).alias("b")
+    )
+    rank = F.lit(0.99) * (F.col("n") - 1)
+    low = F.floor(rank)
+    between = F.col("a") + (rank - low) * (F.col("b") - F.col("a")) > 1
+    above = F.when(F.col("n") == 0, False).when(low >= F.col("c"), True).when((low + 1 < F.col("c")) | (F.col("c") == F.col("n")), False).otherwise(between)
+    scale = m.select(F.when(above, 100.0).otherwise(1.0)).scalar()
+    return df.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x, F.lit(0.0)) / scale)))
 
 
 def risk_colour(risk: Column) -> Column:

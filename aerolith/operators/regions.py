@@ -69,15 +69,18 @@ def binned(edges: DataFrame, grid: Grid) -> DataFrame:
     return e.withColumn("_cell", F.explode(F.sequence(grid.cell(F.col("_strip"), F.col("_west")), grid.cell(F.col("_strip"), F.col("_east")))))
 
 
-def crossings(points: DataFrame, edges: DataFrame, point: list[str], keys: list[str], grid: Grid, also: Column | None = None, boundary: bool | None = None) -> DataFrame:
-    """Pairs inside: (point, region, carried columns of both). points: from `unrolled`; edges: from `ring_edges`.
-    keys: further columns that must be equal. also: a condition on the pair that may drop it early. boundary: what a
-    point on an edge is; None if it doesn't matter (horizontal edges are then left out)."""
+def placed(points: DataFrame, grid: Grid) -> DataFrame:
     p = points.withColumn("_strip", grid.strip(F.col("_lat")))
-    p = p.withColumn("_cell", grid.cell(F.col("_strip"), F.col("_lon")))
-    if boundary is None:
-        edges = edges.where("lat1 <> lat2")
-    e = binned(edges, grid)
+    return p.withColumn("_cell", grid.cell(F.col("_strip"), F.col("_lon")))
+
+
+BIN = ["_strip", "_cell"]
+
+
+def crossings(points: DataFrame, edges: DataFrame, point: list[str], keys: list[str], also: Column | None = None, boundary: bool | None = None) -> DataFrame:
+    """Pairs inside: (point, region). points: from `placed`; edges: from `binned`. keys: what must be equal, BIN among
+    it. also: a condition on the pair that may drop it early. boundary: what a point on an edge is; None if it doesn't
+    matter (edges without height can then be left out before)."""
     lo, hi = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
     spans = (F.col("_lat") >= lo) & (F.col("_lat") < hi)
     at = F.col("lon1") + (F.col("_lat") - F.col("lat1")) / (F.col("lat2") - F.col("lat1")) * (F.col("lon2") - F.col("lon1"))
@@ -86,7 +89,7 @@ def crossings(points: DataFrame, edges: DataFrame, point: list[str], keys: list[
         (F.col("_lat") >= lo) & (F.col("_lat") <= hi)
         & F.when(F.col("lat1") == F.col("lat2"), F.col("_lon").between(F.least("lon1", "lon2"), F.greatest("lon1", "lon2"))).otherwise(at == F.col("_lon"))
     )
-    joined = p.join(e, ["_strip", "_cell", *keys])
+    joined = points.join(edges, keys)
     if also is not None:
         joined = joined.where(also)
     joined = joined.withColumn("_x", crossed.cast("int")).withColumn("_on", on if boundary is not None else F.lit(False))
@@ -102,8 +105,8 @@ def points_in_regions(points: DataFrame, regions: DataFrame, point: str, lat: st
     """(point, region): which regions hold which points. Longitudes of rings may reach from -360 to 360. The grid
     should be about as wide as the regions are."""
     p = points.select(F.col(point).alias("point"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    p = unrolled(p, "lat", "lon", 180.0)
-    return crossings(p, ring_edges(regions, region, ring, []), ["point"], [], grid, boundary=boundary)
+    p = placed(unrolled(p, "lat", "lon", 180.0), grid)
+    return crossings(p, binned(ring_edges(regions, region, ring, []), grid), ["point"], BIN, boundary=boundary)
 
 
 def box_ring(lat: Column, lon: Column, radius_km: float) -> Column:
@@ -129,9 +132,14 @@ def near_pairs(df: DataFrame, id_: str, key: Column, lat: str, lon: str, second:
         box_ring(F.col("lat"), F.col("lon"), radius_km).alias("ring"),
     )
     edges = ring_edges(places, "id_a", "ring", ["k_a", "s_a", "lat_a", "lon_a"])
-    edges = edges.withColumn("_t", F.explode(F.sequence(bucket(F.col("s_a") - within_s), bucket(F.col("s_a") + within_s))))
-    points = unrolled(rows.withColumn("_t", bucket(F.col("s"))), "lat", "lon", 1.0)
-    also = (F.col("region") < F.col("id")) & (F.col("k") != F.col("k_a")) & (F.abs(F.col("s") - F.col("s_a")) <= within_s)
-    pairs = crossings(points, edges, ["id", "lat", "lon", "lat_a", "lon_a"], ["_t"], grid, also)
+    edges = edges.where("lat1 <> lat2").withColumn("_t", F.explode(F.sequence(bucket(F.col("s_a") - within_s), bucket(F.col("s_a") + within_s))))
+    edges = binned(edges, grid)
+    points = placed(unrolled(rows.withColumn("_t", bucket(F.col("s"))), "lat", "lon", 1.0), grid)
+    # which two keys meet in which bin: rows of one key are never held against each other, however many they are
+    at = [*BIN, "_t"]
+    meet = edges.select(*at, "k_a").distinct().join(points.select(*at, "k").distinct(), at).where("k <> k_a")
+    edges = edges.join(meet, [*at, "k_a"])
+    also = (F.col("region") < F.col("id")) & (F.abs(F.col("s") - F.col("s_a")) <= within_s)
+    pairs = crossings(points, edges, ["id", "lat", "lon", "lat_a", "lon_a"], [*at, "k"], also)
     pairs = pairs.where(haversine_km("lat", "lon", "lat_a", "lon_a") <= radius_km)
     return pairs.select(F.col("region").alias("id_a"), F.col("id").alias("id_b")).distinct()

@@ -20,6 +20,16 @@ def prepare(df: DataFrame) -> DataFrame:
     return out.dropna(subset=["second", "lat", "lon"])
 
 
+def dropped(df: DataFrame) -> DataFrame:
+    """One row: how many rows `prepare` takes and leaves out."""
+    there = F.col("evt_ts").isNotNull() & F.col("latitude").try_cast("double").isNotNull() & F.col("longitude").try_cast("double").isNotNull()
+    return df.agg(F.count_if(there).alias("kept"), F.count_if(~there).alias("dropped"))
+
+
+def selected(df: DataFrame, flights: list[str]) -> DataFrame:
+    return df.where(F.col("flight_id").isin(flights))
+
+
 def in_range(df: DataFrame, first_us: int, last_us: int) -> DataFrame:
     """Times within both ends, in microseconds; a range of whole seconds on the stored column, so it is pushed down."""
     return df.where(F.col("second").between(-(-first_us // 1_000_000), last_us // 1_000_000))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import entity_key, identity
-from ..functions.instants import day_range, event_second, local_text
+from ..functions.instants import day_range, event_second, local_text, run_stamp
 from ..functions.risk import normalise_risk, risk_colour
 from ..ml import risk_model
 from ..operators import aggregates, motion, quality, report
@@ -205,6 +205,18 @@ def top_flights(spark, d):
     return report.top_flights(report.flight_stats(_prepared(spark, d))).select("flight_id", "points", r12("avg_risk"), r12("max_risk"))
 
 
+def report_dropped(spark, d):
+    return report.dropped(table(spark, d, "stream_scores"))
+
+
+def selected_track(spark, d):
+    return report.selected(_prepared(spark, d), ["561230", "47CDF8"]).select("flight_id", "second", "lat", "lon")
+
+
+def run_stamps(spark, d):
+    return table(spark, d, "stream_scores").select("score_id", run_stamp("evt_ts").alias("stamp"))
+
+
 def median_centre(spark, d):
     return report.centre(_prepared(spark, d)).select(r6("lat"), r6("lon"))
 
@@ -308,6 +320,7 @@ QUERIES = {
     "movement_with_first": _motion("km_per_s", first=True), "label_gap_or_still": _motion("l1_degrees", "gap_or_still"),
     "score_native": score_native, "hash_split": hash_split, "train_and_score": train_and_score,
     "flight_stats": flight_stats, "key_figures": key_figures, "top_flights": top_flights, "median_centre": median_centre,
+    "report_dropped": report_dropped, "selected_track": selected_track, "run_stamps": run_stamps,
     "track_thinned": track_thinned, "track_ends": track_ends, "normalised_risk": normalised_risk, "risk_colours": risk_colours,
     "local_time_range": local_time_range,
     "wire_normalised": wire_normalised, "wire_bronze": wire_bronze, "wire_dead_letters": wire_dead_letters,
@@ -430,6 +443,10 @@ ORACLES = {
         round(coalesce(max(risk), 0), 12) AS max_risk FROM prep""",
     "top_flights": f"""WITH {_PREPARED}, {_STATS} SELECT flight_id, points, round(avg_risk, 12) AS avg_risk, round(max_risk, 12) AS max_risk FROM stats
         ORDER BY stats.avg_risk DESC, points DESC, flight_id NULLS FIRST LIMIT 15""",
+    "report_dropped": """SELECT count(*) FILTER (evt_ts IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL) AS kept,
+        count(*) FILTER (evt_ts IS NULL OR latitude IS NULL OR longitude IS NULL) AS dropped FROM stream_scores""",
+    "selected_track": f"WITH {_PREPARED} SELECT flight_id, second, lat, lon FROM prep WHERE flight_id IN ('561230', '47CDF8')",
+    "run_stamps": "SELECT score_id, strftime(make_timestamp(evt_ts * 1000000), '%Y%m%dT%H%M%SZ') AS stamp FROM stream_scores",
     "median_centre": f"WITH {_PREPARED} SELECT round(median(lat), 6) AS lat, round(median(lon), 6) AS lon FROM prep",
     "track_thinned": """WITH t AS (SELECT icao24 AS flight_id, score_id, row_number() OVER (PARTITION BY icao24 ORDER BY evt_ts, score_id) - 1 AS r,
             count(*) OVER (PARTITION BY icao24) AS n FROM stream_scores WHERE icao24 IS NOT NULL)
