@@ -179,17 +179,22 @@ def longest_runs(s: np.ndarray, p: np.ndarray, near: float, least_s: int) -> lis
 
 
 def _refined(rule: StopRule):
-    near, least = chord_of_arc(rule.radius_km), rule.least_s
+    near, least, lone_off = chord_of_arc(rule.radius_km), rule.least_s, chord_of_arc(rule.outlier_km)
 
     def run(batches):
-        """Streams over pings sorted by (k, visit, s); holds one visit at a time."""
+        """Streams over pings sorted by (k, visit, s, tie); holds one visit at a time."""
         held: list[pd.DataFrame] = []
 
         def flush():
             if not held:
                 return None
             v = pd.concat(held) if len(held) > 1 else held[0]
+            v = v[v["s"].ne(v["s"].shift())]  # one ping in a second
             s, p = v["s"].to_numpy(), v[["x", "y", "z"]].to_numpy()
+            far = lambda a, b: ((a - b) ** 2).sum(axis=1) > lone_off**2
+            lone = np.zeros(len(s), bool)  # a visit begins and ends with pings that count
+            lone[1:-1] = far(p[1:-1], p[:-2]) & far(p[1:-1], p[2:]) & ~far(p[:-2], p[2:])
+            s, p = s[~lone], p[~lone]
             runs = longest_runs(s, p, near, least)
             return pd.DataFrame(
                 [(v["k"].iloc[0], v["visit"].iloc[0], int(s[i]), int(s[j]), j - i + 1, *np.median(p[i : j + 1], axis=0)) for i, j in runs],
@@ -245,12 +250,15 @@ def stops_and_trips(pings: DataFrame, rule: StopRule = StopRule()) -> DataFrame:
     cols = ["k", "start_s", "end_s", "n", "x_med", "y_med", "z_med"]
     sure = visits.where(whole).select(*cols, "place")
 
-    # the exact search, for visits that don't fit into one box
-    open_ = visits.where(~whole).select("k", "visit")
-    parts = labelled.join(open_, ["k", "visit"]).select("k", "_slice", "seg", "visit")
+    # the exact search, for visits that don't fit into one box: their pings are fetched by entity and time, so the
+    # slices aren't made again
+    wide = 21600
+    open_ = visits.where(~whole).select("k", "visit", "start_s", "end_s")
+    open_ = open_.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_s") / wide), F.floor(F.col("end_s") / wide))))
     loose = (
-        marked.where("still").select("k", "_slice", "seg", "s", "x", "y", "z").join(parts, ["k", "_slice", "seg"])
-        .select("k", "visit", "s", "x", "y", "z").repartition("k", "visit").sortWithinPartitions("k", "visit", "s")
+        pings.withColumn("_b", F.floor(F.col("s") / wide)).join(open_, ["k", "_b"]).where(F.col("s").between(F.col("start_s"), F.col("end_s")))
+        .select("k", "visit", "s", "tie", *[c.alias(n) for c, n in zip(sphere_km("lat", "lon"), "xyz")])
+        .repartition("k", "visit").sortWithinPartitions("k", "visit", "s", "tie")
     )
     found = loose.mapInPandas(_refined(rule), "k string, visit bigint, start_s bigint, end_s bigint, n bigint, x_med double, y_med double, z_med double")
     found = found.select("*", *cells).join(places, ["k", "cx", "cy", "cz"], "left").select(*cols, "place")
