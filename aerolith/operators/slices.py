@@ -34,6 +34,7 @@ def sliced(
         first = order[len(same)]
         rest = [c for c in df.columns if c not in (key, *same, first)]
         df = df.groupBy(key, *same).agg(F.min(first).alias(first), *[F.min_by(c, first).alias(c) for c in rest])
+        order = same  # now total; what isn't used further needn't move
     base = df.withColumn("_b", bucket)
     w = W.partitionBy(key, "_b").orderBy(*order)
     base = base.withColumn("_i", F.row_number().over(w))
