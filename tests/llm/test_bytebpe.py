@@ -57,3 +57,18 @@ def test_query(spark, data, library):
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "a b")], "doc_id bigint, text string")
     assert sorted((r.doc_id or 0, r.ids) for r in bytebpe.encoded(odd, "doc_id", "text").collect()) == [(0, [64, 275]), (1, []), (2, [])]
     assert bytebpe.encoded(odd.limit(0), "doc_id", "text").count() == 0
+
+
+def test_any_text(library):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    e = bytebpe.Encoder(PATH)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), max_size=5))
+    def check(texts):
+        o, ids = e.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(o, o[1:])] == [library.encode_ordinary(t) for t in texts]
+
+    check()
