@@ -75,3 +75,29 @@ def test_longest_runs_take_the_longest_first():
     s = np.array([0, 300, 600, 900, 1200])
     p = np.array([[0, 0, 0], [0.2, 0, 0], [0.8, 0, 0], [1.1, 0, 0], [1.15, 0, 0]], float)
     assert longest_runs(s, p, 1.0, 600) == [(1, 4)]
+
+
+def test_any_series_of_points():
+    import numpy as np
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.tuples(st.integers(1, 400), st.integers(-12, 12)), min_size=1, max_size=25))
+    def check(moves):
+        s = np.cumsum([m[0] for m in moves])
+        x = np.cumsum([m[1] for m in moves]) / 10
+        p = np.c_[x, np.zeros_like(x), np.zeros_like(x)]
+
+        def longest(a, b):
+            fits = [(s[j] - s[i], -j, i, j) for i in range(a, b + 1) for j in range(i, b + 1) if x[i : j + 1].max() - x[i : j + 1].min() <= 1 + 1e-9]
+            if not fits or max(fits)[0] < 600:
+                return []
+            _, _, i, j = max(fits)
+            return longest(a, i - 1) + [(i, j)] + longest(j + 1, b) if a <= b else []
+
+        got = longest_runs(s, p, 1 + 1e-9, 600)
+        assert all(s[j] - s[i] >= 600 and x[i : j + 1].max() - x[i : j + 1].min() <= 1 + 1e-8 for i, j in got)
+        assert [int(s[j] - s[i]) for i, j in got] == [int(s[j] - s[i]) for i, j in longest(0, len(s) - 1)]
+
+    check()
