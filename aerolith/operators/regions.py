@@ -127,18 +127,20 @@ def near_pairs(df: DataFrame, id_: str, key: Column, lat: str, lon: str, second:
     rows = rows.where(F.col("id").isNotNull() & F.col("k").isNotNull() & F.col("s").isNotNull() & on_globe("lat", "lon"))
     wide = 4 * within_s
     bucket = lambda s: F.floor(s / wide)
-    places = rows.select(
-        F.col("id").alias("id_a"), F.col("k").alias("k_a"), F.col("s").alias("s_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"),
-        box_ring(F.col("lat"), F.col("lon"), radius_km).alias("ring"),
-    )
-    edges = ring_edges(places, "id_a", "ring", ["k_a", "s_a", "lat_a", "lon_a"])
-    edges = edges.where("lat1 <> lat2").withColumn("_t", F.explode(F.sequence(bucket(F.col("s_a") - within_s), bucket(F.col("s_a") + within_s))))
-    edges = binned(edges, grid)
-    points = placed(unrolled(rows.withColumn("_t", bucket(F.col("s"))), "lat", "lon", 1.0), grid)
-    # which two keys meet in which bin: rows of one key are never held against each other, however many they are
     at = [*BIN, "_t"]
-    meet = edges.select(*at, "k_a").distinct().join(points.select(*at, "k").distinct(), at).where("k <> k_a")
-    edges = edges.join(meet, [*at, "k_a"])
+    points = placed(unrolled(rows.withColumn("_t", bucket(F.col("s"))), "lat", "lon", 1.0), grid)
+    # places by the bins that their boxes touch; the edges are only made where two keys meet
+    places = rows.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "k", "s", "lat", "lon")])
+    ring = box_ring(F.col("lat_a"), F.col("lon_a"), radius_km)
+    south, north, west, east = ring[0]["lat"], ring[2]["lat"], ring[0]["lon"], ring[1]["lon"]
+    touched = places.withColumn("_strip", F.explode(F.sequence(grid.strip(south), grid.strip(north))))
+    touched = touched.withColumn("_cell", F.explode(F.sequence(grid.cell(F.col("_strip"), west), grid.cell(F.col("_strip"), east))))
+    touched = touched.withColumn("_t", F.explode(F.sequence(bucket(F.col("s_a") - within_s), bucket(F.col("s_a") + within_s))))
+    # rows of one key are never held against each other, however many they are
+    meet = touched.select(*at, "k_a").distinct().join(points.select(*at, "k").distinct(), at).where("k <> k_a")
+    touched = touched.join(meet, [*at, "k_a"]).withColumn("ring", ring)
+    edges = ring_edges(touched, "id_a", "ring", [*at, "k", "s_a", "lat_a", "lon_a"]).where("lat1 <> lat2")
+    edges = edges.where(F.col("_strip").between(grid.strip(F.least("lat1", "lat2")), grid.strip(F.greatest("lat1", "lat2"))))
     also = (F.col("region") < F.col("id")) & (F.abs(F.col("s") - F.col("s_a")) <= within_s)
     pairs = crossings(points, edges, ["id", "lat", "lon", "lat_a", "lon_a"], [*at, "k"], also)
     pairs = pairs.where(haversine_km("lat", "lon", "lat_a", "lon_a") <= radius_km)
