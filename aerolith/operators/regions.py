@@ -31,8 +31,8 @@ KM_PER_DEGREE = math.pi * EARTH_KM / 180
 
 @dataclass(frozen=True)
 class Grid:
-    strip_km: float = 2.0
-    cell_km: float = 2.0
+    strip_km: float = 4.0
+    cell_km: float = 4.0
 
     def strip(self, lat: Column) -> Column:
         return F.floor(lat * (KM_PER_DEGREE / self.strip_km)).cast("int")
@@ -125,7 +125,7 @@ def near_pairs(df: DataFrame, id_: str, key: Column, lat: str, lon: str, second:
     """(id_a, id_b): pairs of rows with different keys, at most radius_km apart, at most within_s apart in time."""
     rows = df.select(F.col(id_).alias("id"), key.alias("k"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), F.col(second).cast("bigint").alias("s"))
     rows = rows.where(F.col("id").isNotNull() & F.col("k").isNotNull() & F.col("s").isNotNull() & on_globe("lat", "lon"))
-    wide = 4 * within_s
+    wide = 8 * within_s
     bucket = lambda s: F.floor(s / wide)
     at = [*BIN, "_t"]
     points = placed(unrolled(rows.withColumn("_t", bucket(F.col("s"))), "lat", "lon", 1.0), grid)
