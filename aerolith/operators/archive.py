@@ -115,12 +115,15 @@ def pack(members: DataFrame, group: str, block_bytes: int = 128 << 20, run: int
     index = sized.select("file", "path", "block", "offset", "length", F.crc32("content").alias("checksum"))
     parts = F.array_sort(F.collect_list(F.struct("offset", "content")))
     blocks = sized.groupBy("block").agg(parts.alias("p")).select(
-        "block", F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["content"])).alias("payload")
+        "block", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["content"])), "")).alias("payload")  # linear in the bytes
     )
     return index, blocks
 
 
 def unpack(index: DataFrame, blocks: DataFrame) -> DataFrame:
     """(file, path, content, intact): the members read back; intact says if the checksum agrees."""
-    got = index.join(blocks, "block").select("file", "path", "checksum", F.substring(F.col("payload"), F.col("offset") + 1, F.col("length")).alias("content"))
+    part = lambda m: F.substring(F.col("payload"), m["offset"] + 1, m["length"])
+    members = index.groupBy("block").agg(F.collect_list(F.struct("file", "path", "offset", "length", "checksum")).alias("m"))
+    cut = F.transform("m", lambda m: F.struct(m["file"].alias("file"), m["path"].alias("path"), part(m).alias("content"), m["checksum"].alias("checksum")))
+    got = blocks.join(members, "block").select(F.explode(cut).alias("c")).select("c.*")  # a block is opened once
     return got.select("file", "path", "content", (F.crc32("content") == F.col("checksum")).alias("intact"))

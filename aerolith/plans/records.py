@@ -11,6 +11,7 @@ from ..functions.identity import entity_key
 from ..operators.regions import near_pairs
 from ..operators.spikes import implausible, judged, scatter
 from ..operators.trips import StopRule, clean_pings, stops_and_trips
+from ..session import materialise
 from .tables import table
 
 #: DuckDB text of the key of an aircraft.
@@ -82,7 +83,8 @@ def p6_archive(spark: SparkSession, d: str) -> DataFrame:
     merge = p6_plan(spark, d).where("action = 'merge'").select(F.col("file_id").alias("file"), "path")
     content = archive.row_bytes(rows, "file_id", "pos_id").join(merge, "file")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    index, blocks = archive.pack(content.withColumn("folder", folder), "folder")
+    content = materialise(content.withColumn("folder", folder))  # the index and the blocks both read it
+    index, blocks = archive.pack(content, "folder")
     back = archive.unpack(index, blocks).select("file", "intact")
     return index.join(back, "file").withColumnRenamed("file", "file_id")
 
