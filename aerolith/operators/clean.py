@@ -27,17 +27,26 @@ def one_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def clean(df: DataFrame, second: Column, tie_break: list[str], rule: str = "canonical", now: Column | None = None) -> DataFrame:
-    """SILVER and the tie-break columns. Rows without a time take `now`; without one they are left out (they are what
-    `quality.quarantine` keeps). Coordinates that aren't numbers are null and go."""
+def normalised(df: DataFrame, second: Column, tie_break: list[str], rule: str = "canonical", now: Column | None = None) -> DataFrame:
+    """All rows under the columns that `clean` decides by: SILVER without the date, and the tie-break columns."""
     kinds = dict(df.dtypes)
     number = lambda c: F.col(c) if kinds[c] == "double" else F.col(c).try_cast("double")
     s = second if now is None else F.coalesce(second, now)
-    out = df.select(
+    return df.select(
         identity(rule).alias("icao24"), number("latitude").alias("latitude"), number("longitude").alias("longitude"),
         "flight", "reg", s.cast("bigint").alias("second"), *tie_break,
     )
-    out = in_bounds(out).where(F.col("second").isNotNull() & on_globe("latitude", "longitude"))
+
+
+def passes() -> Column:
+    """Which normalised rows are clean, but for copies."""
+    return F.col("second").isNotNull() & on_globe("latitude", "longitude")
+
+
+def clean(df: DataFrame, second: Column, tie_break: list[str], rule: str = "canonical", now: Column | None = None) -> DataFrame:
+    """SILVER and the tie-break columns. Rows without a time take `now`; without one they are left out (the daily run
+    keeps them by `quality.quarantine` over the normalised rows). Coordinates that aren't numbers are null and go."""
+    out = in_bounds(normalised(df, second, tie_break, rule, now)).where(passes())
     out = one_per_key(out, ["icao24", "second"], tie_break)
     return out.select(*SILVER[:-1], utc_date("second").alias("date"), *tie_break)
 

@@ -6,13 +6,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.instants import event_second
 from ..ml import risk_model
 from ..operators import aggregates, motion, quality
-from ..operators.clean import clean
+from ..operators.clean import SILVER, clean, normalised, passes
 from ..sinks import files
 
 
@@ -66,15 +66,30 @@ def _clean(spark: SparkSession, w: dict) -> None:
     files.parquet(clean(spark.read.parquet(w["bronze"]), event_second("feature", "timestamp"), ["pos_id"]), w["silver"], ["date"])
 
 
+def _accounts(rows: DataFrame, keys: list[str]) -> dict:
+    """What became of the rows: silver_rows + copies + rejected_rows are all of them."""
+    good = F.coalesce(passes(), F.lit(False))
+    by_key = rows.groupBy(*keys, good.alias("good")).agg(F.count(F.lit(1)).alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return by_key.agg(
+        F.count_if("good").alias("silver_rows"), total(F.when(F.col("good"), F.col("n") - 1)).alias("copies"), total(F.when(~F.col("good"), F.col("n"))).alias("rejected_rows")
+    ).first().asDict()
+
+
 def _validate(spark: SparkSession, w: dict) -> None:
-    silver = spark.read.parquet(w["silver"])
+    """Judges the bronze rows as the clean stage sees them: in silver nothing is left to find. A row is in silver, in
+    quarantine, or (of a duplicate group, whose rows are all in quarantine) in both."""
+    rows = normalised(spark.read.parquet(w["bronze"]), event_second("feature", "timestamp"), ["pos_id"])
     keys, cols = ["icao24", "second"], ["latitude", "longitude", "second"]
-    status, row = quality.judge(silver, ["icao24", "latitude", "longitude", "second"], keys=keys, columns=cols)
-    row["status"] = status.name
+    status, row = quality.judge(rows, ["icao24", "latitude", "longitude", "second"], keys=keys, columns=cols)
+    row |= _accounts(rows, keys) | {"status": status.name}
+    for name, bad in quality.quarantine(rows, w["run_id"], keys, cols).items():
+        if not bad.isEmpty():
+            bad.write.mode("overwrite").parquet(f"{w['quarantine']}/{name}/run_id={w['run_id']}")
     files.parquet(spark.createDataFrame([row]).withColumn("run_id", F.lit(w["run_id"])), w["metrics"], mode="append")
-    for name, rows in quality.quarantine(silver, w["run_id"], keys, cols).items():
-        if not rows.isEmpty():
-            rows.write.mode("overwrite").parquet(f"{w['quarantine']}/{name}/run_id={w['run_id']}")
+    if not row["silver_rows"]:
+        raise quality.QualityError("no row passed")
+    quality.require_columns(spark.read.parquet(w["silver"]), SILVER)
 
 
 def _gold(spark: SparkSession, w: dict) -> None:
@@ -101,7 +116,7 @@ def _score(spark: SparkSession, w: dict) -> None:
 
 DAILY = [
     Stage("clean", _clean, ["bronze"], ["silver"]),
-    Stage("validate", _validate, ["silver"], ["metrics"]),
+    Stage("validate", _validate, ["bronze", "silver"], ["metrics"]),
     Stage("gold", _gold, ["silver"], ["gold"]),
     Stage("features", _features, ["silver"], ["features"]),
     Stage("train", _train, ["features"], ["model"]),

@@ -44,6 +44,22 @@ def test_daily_run_twice(spark, data, tmp_path):
         pipeline.run(spark, pipeline.DAILY[:1], {**where, "bronze": f"{tmp_path}/nothing"})
 
 
+def test_every_bronze_row_is_kept_or_quarantined(spark, data, tmp_path):
+    where = pipeline.folders(str(tmp_path), f"{data}/bronze_positions.parquet", "r1")
+    pipeline.run(spark, pipeline.DAILY[:2], where, wait_s=0)
+    ids = lambda df: {r[0] for r in df.select("pos_id").collect()}
+    bronze, silver = spark.read.parquet(where["bronze"]), ids(spark.read.parquet(where["silver"]))
+    held = {n: ids(spark.read.parquet(f"{where['quarantine']}/{n}")) for n in ("nulls", "range", "duplicates")}
+    assert ids(bronze) == silver.union(*held.values())
+    assert held["nulls"] == ids(bronze.where("timestamp IS NULL OR latitude IS NULL OR longitude IS NULL")) and held["nulls"]
+    assert held["range"] == ids(bronze.where("abs(latitude) > 90 OR abs(longitude) > 180")) and held["range"]
+    assert not silver & (held["nulls"] | held["range"])
+    m = spark.read.parquet(where["metrics"]).first()
+    assert (m.total_rows, m.null_count, m.range_count) == (bronze.count(), len(held["nulls"]), len(held["range"]))
+    assert m.silver_rows == len(silver) and m.rejected_rows == len(held["nulls"] | held["range"]) and m.copies > 0
+    assert m.total_rows == m.silver_rows + m.copies + m.rejected_rows
+
+
 def test_a_stage_is_tried_again(spark):
     tries = []
 
