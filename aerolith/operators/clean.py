@@ -43,11 +43,12 @@ def passes() -> Column:
     return F.col("second").isNotNull() & on_globe("latitude", "longitude")
 
 
-def clean(df: DataFrame, second: Column, tie_break: list[str], rule: str = "canonical", now: Column | None = None) -> DataFrame:
+def clean(df: DataFrame, second: Column, tie_break: list[str], rule: str = "canonical", now: Column | None = None, order: list[str] | None = None) -> DataFrame:
     """SILVER and the tie-break columns. Rows without a time take `now`; without one they are left out (the daily run
-    keeps them by `quality.quarantine` over the normalised rows). Coordinates that aren't numbers are null and go."""
+    keeps them by `quality.quarantine` over the normalised rows). Coordinates that aren't numbers are null and go.
+    order: what decides between copies, where the tie-break alone isn't total."""
     out = in_bounds(normalised(df, second, tie_break, rule, now)).where(passes())
-    out = one_per_key(out, ["icao24", "second"], tie_break)
+    out = one_per_key(out, ["icao24", "second"], order or tie_break)
     return out.select(*SILVER[:-1], utc_date("second").alias("date"), *tie_break)
 
 

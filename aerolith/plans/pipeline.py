@@ -9,11 +9,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.instants import event_second
 from ..ml import risk_model
 from ..operators import aggregates, motion, quality
 from ..operators.clean import SILVER, clean, normalised, passes
 from ..sinks import files
+from ..sources import parquet
 
 
 @dataclass
@@ -62,8 +62,20 @@ def run(spark: SparkSession, stages: list[Stage], where: dict[str, str], retries
     return done
 
 
+def _rows(spark: SparkSession, w: dict, paths: list[str] | None = None) -> parquet.Drifted:
+    """The bronze rows, whatever the schemas of their files are, normalised; pos_id is null where a file has none."""
+    got = parquet.by_schema(spark, w["bronze"], {"pos_id": "bigint"}, paths)
+    got.frame = normalised(got.frame, F.col("second"), ["pos_id"])
+    return got
+
+
 def _clean(spark: SparkSession, w: dict) -> None:
-    files.parquet(clean(spark.read.parquet(w["bronze"]), event_second("feature", "timestamp"), ["pos_id"]), w["silver"], ["date"])
+    """Silver, and the list of the files of the run: those read and those skipped."""
+    got = _rows(spark, w)
+    order = ["pos_id", "latitude", "longitude", "flight", "reg"]
+    files.parquet(clean(got.frame, F.col("second"), ["pos_id"], order=order), w["silver"], ["date"])
+    seen = [(p, True) for p in got.read] + [(p, False) for p in got.skipped]
+    files.parquet(spark.createDataFrame(seen, "path string, read boolean").withColumn("run_id", F.lit(w["run_id"])), w["files"], ["run_id"])
 
 
 def _accounts(rows: DataFrame, keys: list[str]) -> dict:
@@ -79,10 +91,17 @@ def _accounts(rows: DataFrame, keys: list[str]) -> dict:
 def _validate(spark: SparkSession, w: dict) -> None:
     """Judges the bronze rows as the clean stage sees them: in silver nothing is left to find. A row is in silver, in
     quarantine, or (of a duplicate group, whose rows are all in quarantine) in both."""
-    rows = normalised(spark.read.parquet(w["bronze"]), event_second("feature", "timestamp"), ["pos_id"])
+    seen = [tuple(r) for r in spark.read.parquet(w["files"]).where(F.col("run_id") == w["run_id"]).select("path", "read").collect()]
+    again = _rows(spark, w, [p for p, read in seen if read])  # files that came since belong to the next run
+    if again.skipped:
+        raise OSError(f"read by the clean stage, unreadable now: {', '.join(again.skipped)}")
+    rows, skipped = again.frame, sum(not read for _, read in seen)
     keys, cols = ["icao24", "second"], ["latitude", "longitude", "second"]
     status, row = quality.judge(rows, ["icao24", "latitude", "longitude", "second"], keys=keys, columns=cols)
-    row |= _accounts(rows, keys) | {"status": status.name}
+    row |= _accounts(rows, keys) | {"status": status.name, "files_read": len(again.read), "files_skipped": skipped}
+    if skipped:
+        row["messages"] = " | ".join(filter(None, [row["messages"], f"{skipped} unreadable files skipped"]))
+        row["status"] = quality.Status.WARNING.name
     for name, bad in quality.quarantine(rows, w["run_id"], keys, cols).items():
         if not bad.isEmpty():
             bad.write.mode("overwrite").parquet(f"{w['quarantine']}/{name}/run_id={w['run_id']}")
@@ -115,8 +134,8 @@ def _score(spark: SparkSession, w: dict) -> None:
 
 
 DAILY = [
-    Stage("clean", _clean, ["bronze"], ["silver"]),
-    Stage("validate", _validate, ["bronze", "silver"], ["metrics"]),
+    Stage("clean", _clean, ["bronze"], ["silver", "files"]),
+    Stage("validate", _validate, ["bronze", "files", "silver"], ["metrics"]),
     Stage("gold", _gold, ["silver"], ["gold"]),
     Stage("features", _features, ["silver"], ["features"]),
     Stage("train", _train, ["features"], ["model"]),
@@ -125,7 +144,7 @@ DAILY = [
 
 
 def folders(root: str, bronze: str, run_id: str) -> dict[str, str]:
-    names = ("silver", "metrics", "quarantine", "gold", "features", "model", "scores")
+    names = ("silver", "files", "metrics", "quarantine", "gold", "features", "model", "scores")
     return {"bronze": bronze, "run_id": run_id, **{n: f"{root}/{n}" for n in names}}
 
 

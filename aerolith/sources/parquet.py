@@ -75,24 +75,25 @@ class Drifted:
     skipped: list[str] = field(default_factory=list)
 
 
-def by_schema(spark: SparkSession, folder: str) -> Drifted:
+def by_schema(spark: SparkSession, folder: str, also: dict[str, str] | None = None, paths: list[str] | None = None) -> Drifted:
     """All readable files, one scan for each distinct schema, brought to one schema and united by name; files that
-    can't be opened are skipped and named. QualityError if none can."""
+    can't be opened are skipped and named. QualityError if none can. also: columns to keep besides BRONZE, with their
+    types; paths: these files of the folder only."""
     groups: dict[str, list[str]] = {}
     skipped = []
-    for path, footer in sorted(footers(spark, listed(spark, folder)).items()):
+    for path, footer in sorted(footers(spark, listed(spark, folder) if paths is None else paths).items()):
         skipped.append(path) if footer is None else groups.setdefault(footer, []).append(path)
     if not groups:
         raise QualityError(f"no readable Parquet file in {folder}")
-    frames = [typed(spark.read.parquet(*paths)) for paths in groups.values()]
+    frames = [typed(spark.read.parquet(*group), also) for group in groups.values()]
     return Drifted(union_drifted(frames), [p for g in groups.values() for p in g], skipped)
 
 
-def typed(df: DataFrame) -> DataFrame:
+def typed(df: DataFrame, also: dict[str, str] | None = None) -> DataFrame:
     """Columns of one file group under their names and types; a time in any form becomes epoch seconds."""
     df = df.withColumnsRenamed({a: b for a, b in RENAMES.items() if a in df.columns and b not in df.columns})
     kinds = dict(df.dtypes)
-    cols = [F.col(c).try_cast(t).alias(c) if c in kinds else F.lit(None).cast(t).alias(c) for c, t in BRONZE.items()]
+    cols = [F.col(c).try_cast(t).alias(c) if c in kinds else F.lit(None).cast(t).alias(c) for c, t in (BRONZE | (also or {})).items()]
     if "timestamp" in kinds:
         kind = kinds["timestamp"]
         if kind == "timestamp":

@@ -60,6 +60,24 @@ def test_every_bronze_row_is_kept_or_quarantined(spark, data, tmp_path):
     assert m.total_rows == m.silver_rows + m.copies + m.rejected_rows
 
 
+def test_daily_run_on_drifted_files(spark, data, tmp_path):
+    whole = spark.read.parquet(f"{data}/bronze_positions.parquet")
+    part = lambda i: whole.where(F.pmod("pos_id", F.lit(3)) == i).coalesce(1)
+    part(0).write.parquet(f"{tmp_path}/b/0")
+    part(1).withColumnsRenamed({"latitude": "lat", "longitude": "lon"}).write.parquet(f"{tmp_path}/b/1")
+    part(2).withColumn("timestamp", F.unix_seconds("timestamp")).write.parquet(f"{tmp_path}/b/2")
+    (tmp_path / "b" / "broken.parquet").write_bytes(b"PAR1 no")
+    where = pipeline.folders(f"{tmp_path}/o", f"{tmp_path}/b", "r1")
+    pipeline.run(spark, pipeline.DAILY, where, wait_s=0)
+    want = pipeline.clean(whole, F.unix_seconds("timestamp"), ["pos_id"])
+    got = spark.read.parquet(where["silver"]).select(want.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    m = spark.read.parquet(where["metrics"]).first()
+    assert (m.files_read, m.files_skipped, m.status) == (3, 1, "WARNING") and "1 unreadable files skipped" in m.messages
+    assert m.total_rows == whole.count() == m.silver_rows + m.copies + m.rejected_rows
+    assert [r.path.rpartition("/")[2] for r in spark.read.parquet(where["files"]).where("NOT read").collect()] == ["broken.parquet"]
+
+
 def test_a_stage_is_tried_again(spark):
     tries = []
 
