@@ -44,7 +44,7 @@ class Grid:
         return F.floor((lon + 180) / 360 * around).cast("int")
 
 
-def unrolled(points: DataFrame, lat: str, lon: str, margin: float) -> DataFrame:
+def unrolled(points: DataFrame, lat: str, lon: str, margin: float | Column) -> DataFrame:
     """points on the globe, those within `margin` degrees of the date line once more on the other side: _lat, _lon."""
     p = points.where(on_globe(lat, lon)).withColumn("_lat", F.col(lat).cast("double"))
     x = F.col(lon).cast("double")
@@ -121,6 +121,15 @@ def box_ring(lat: Column, lon: Column, radius_km: float) -> Column:
     return F.array(v(south, west), v(south, east), v(north, east), v(north, west))
 
 
+def reach(lat: Column, radius_km: float) -> Column:
+    """How far over the date line, in degrees, a box around a place can reach that holds a point of this latitude: the
+    place is at most the box's height nearer to the pole. Boxes that hold a pole reach half a degree over."""
+    r = radius_km / EARTH_KM * (1 + 1e-9) + 1e-12
+    nearest = F.abs(lat) + math.degrees(r) + 1e-6  # of the places whose boxes hold the point
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(r)) / F.cos(F.radians(nearest))))) + 1e-6
+    return F.when(nearest >= 90, F.lit(180.0)).otherwise(F.greatest(F.lit(1.0), wide))
+
+
 def near_pairs(df: DataFrame, id_: str, key: Column, lat: str, lon: str, second: str, radius_km: float, within_s: int, grid: Grid = Grid()) -> DataFrame:
     """(id_a, id_b): pairs of rows with different keys, at most radius_km apart, at most within_s apart in time."""
     rows = df.select(F.col(id_).alias("id"), key.alias("k"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), F.col(second).cast("bigint").alias("s"))
@@ -128,7 +137,7 @@ def near_pairs(df: DataFrame, id_: str, key: Column, lat: str, lon: str, second:
     wide = 8 * within_s
     bucket = lambda s: F.floor(s / wide)
     at = [*BIN, "_t"]
-    points = placed(unrolled(rows.withColumn("_t", bucket(F.col("s"))), "lat", "lon", 1.0), grid)
+    points = placed(unrolled(rows.withColumn("_t", bucket(F.col("s"))), "lat", "lon", reach(F.col("lat"), radius_km)), grid)
     # places by the bins that their boxes touch; the edges are only made where two keys meet
     places = rows.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "k", "s", "lat", "lon")])
     ring = box_ring(F.col("lat_a"), F.col("lon_a"), radius_km)

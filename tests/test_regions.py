@@ -33,6 +33,20 @@ def test_near_pairs_everywhere(spark):
     assert pairs(df.limit(0)) == set()
 
 
+def test_near_pairs_over_the_date_line_beside_a_pole(spark):
+    rnd = random.Random(8)
+    rows = [(0, "a", 89.9, 179.0, 5), (1, "b", 89.9, -178.5, 5)]
+    for i in range(2, 500):  # where boxes are wider than a degree and hold no pole
+        a = rnd.choice([-1, 1]) * (90 - rnd.choice([0.0091, 0.012, 0.02, 0.03, 0.1, 0.3, 0.6]) - abs(rnd.gauss(0, 0.003)))
+        wide = min(150.0, 0.6 / (90 - abs(a)))
+        rows.append((i, rnd.choice("abc"), a, (180 + rnd.uniform(-wide, wide) + 180) % 360 - 180, 5))
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] != y[1] and brute.hav(x[2], x[3], y[2], y[3]) <= 1.0}
+    over = {(i, j) for i, j in want if rows[i][3] * rows[j][3] < 0}
+    assert (0, 1) in over and len(over) > 1000
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert pairs(df) == want and pairs(df, Grid(0.7, 9.0)) == want
+
+
 def inside(lat, lon, ring):
     odd = False
     for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]):
