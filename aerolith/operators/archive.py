@@ -102,21 +102,24 @@ def row_bytes(rows: DataFrame, file: str, order: str) -> DataFrame:
 
 def pack(members: DataFrame, group: str, block_bytes: int = 128 << 20, run: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(index, blocks) of members (file, path, content, group). index: file, path, block, offset, length, checksum
-    (CRC-32); blocks: block, payload. Members of different groups never share a block; offsets are running sums over
-    at most `run` ids of a group at a time, so no group is ordered as a whole."""
-    sized = members.withColumn("length", F.octet_length("content")).withColumn("run", F.floor(F.col("file") / run))
-    w = W.partitionBy(group, "run").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    sized = sized.withColumn("before", F.coalesce(F.sum("length").over(w), F.lit(0)))
-    sized = sized.withColumn("part", F.floor(F.col("before") / block_bytes))
-    block = F.concat_ws("/", F.coalesce(F.col(group).cast("string"), F.lit("null")), F.col("run").cast("string"), F.col("part").cast("string"))
-    sized = sized.withColumn("block", block)
+    (CRC-32); blocks: block, payload. Members of different groups never share a block. Offsets have two levels: running
+    sums over at most `run` ids of a group at a time, and over the sums of these, so blocks fill up to `block_bytes`
+    though no group is ordered as a whole. A member is in the block in which it begins."""
+    sized = members.select("file", "path", F.octet_length("content").alias("length"), F.crc32("content").alias("checksum"), F.col(group).cast("string").alias("g"))
+    sized = sized.withColumn("run", F.floor(F.col("file") / run)).withColumn("g", F.coalesce(F.concat(F.lit("/"), "g"), F.lit("null")))
+    earlier = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    sums = sized.groupBy("g", F.col("run").alias("_run")).agg(F.sum("length").alias("bytes")).withColumnRenamed("g", "_g")
+    sums = sums.select("_g", "_run", F.coalesce(F.sum("bytes").over(earlier("_g").orderBy("_run")), F.lit(0)).alias("base"))
+    sized = sized.join(sums, (F.col("g") == F.col("_g")) & F.col("run").eqNullSafe(F.col("_run")))
+    within = F.coalesce(F.sum("length").over(earlier("g", "run").orderBy("file")), F.lit(0))
+    sized = sized.withColumn("before", F.col("base") + within)
+    sized = sized.withColumn("block", F.concat_ws("/", "g", F.floor(F.col("before") / block_bytes).cast("string")))
     start = F.min("before").over(W.partitionBy("block"))
-    sized = sized.withColumn("offset", F.col("before") - start)
-    index = sized.select("file", "path", "block", "offset", "length", F.crc32("content").alias("checksum"))
-    parts = F.array_sort(F.collect_list(F.struct("offset", "content")))
-    blocks = sized.groupBy("block").agg(parts.alias("p")).select(
-        "block", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["content"])), "")).alias("payload")  # linear in the bytes
-    )
+    index = sized.select("file", "path", "block", (F.col("before") - start).alias("offset"), "length", "checksum")
+    # the bytes themselves move only here; members without any share their offset with the next one, in either order
+    at = index.select(F.col("file").alias("_file"), "block", "offset")
+    placed = members.select("file", "content").join(at, F.col("file").eqNullSafe(F.col("_file")))
+    blocks = placed.groupBy("block").agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY `offset`)").alias("payload"))  # linear in the bytes
     return index, blocks
 
 

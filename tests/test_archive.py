@@ -49,6 +49,16 @@ def test_packing_is_an_exact_round_trip(spark):
     assert archive.unpack(*archive.pack(df.limit(0), "g")).count() == 0
 
 
+def test_blocks_fill_up_over_windows_of_ids(spark):
+    members = [(i, f"p/{i}", bytes([i % 251]) * 10, ["g", "null", None][i % 3]) for i in range(0, 3000)]
+    df = spark.createDataFrame(members, "file bigint, path string, content binary, g string")
+    index, blocks = archive.pack(df, "g", block_bytes=2500, run=50)  # 10,000 bytes a group, 170 in a window
+    sizes = {r.block: len(r.payload) for r in blocks.collect()}
+    assert len(sizes) == 12 and set(sizes.values()) == {2500}
+    back = {r.file: r for r in archive.unpack(index, blocks).collect()}
+    assert len(back) == 3000 and all(bytes(back[i].content) == c and back[i].intact for i, _, c, _ in members)
+
+
 def test_rows_survive_packing(spark, data):
     rows = spark.read.parquet(f"{data}/bronze_positions.parquet")
     content = archive.row_bytes(rows, "file_id", "pos_id").selectExpr("file", "'p' AS path", "content", "'g' AS g")
