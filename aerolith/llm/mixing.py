@@ -1,10 +1,14 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document gets a rate w = min(cap, exp(a + b x)), x its tokens over the mean of its source: of all rates that
-meet the constraints the ones closest to "each document once" in relative entropy. The constraints of a source are its
-tokens and, so that the tilt doesn't favour short or long documents, its number of documents in proportion. Their
-convex dual is solved by Newton steps for all sources at once; gradient and Hessian are one map-side combined
-aggregate over the documents, of which the driver sees one row per source (the rows of the target table).
+Every document gets a rate w = min(cap, exp(b x)), x its tokens over the mean of its source: of all rates of at most
+the cap that meet the source's token constraint, sum(w x) = goal, the ones closest to "each document once" in relative
+entropy. One multiplier b for each source is the whole dual; it is convex, and Newton steps, kept inside a bracket,
+solve it for all sources at once. Gradient and curvature are one map-side combined aggregate over the distinct lengths
+of each source with their counts (exact, no bins), of which the driver sees one row per source. A source that has to
+give all its copies has no finite multiplier: its rates are the caps. A dual that isn't solved within the steps raises.
+
+The tilt is what the entropy asks for: a source that must shrink keeps short documents more readily than long ones, a
+source that must grow repeats long ones more.
 
 Rates become copies: the whole part, and one more for documents in the order of a hash until the tokens of the source
 are reached, to within half of one document. The order is cut by a histogram over the hash and exactly within one bin of it,
@@ -19,10 +23,10 @@ their own. Empty input, empty mixture.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,8 +46,7 @@ class Source:
     documents: int = 0
     tokens: int = 0
     goal: float = 0.0
-    a: float = 0.0
-    b: float = 0.0
+    b: float = 0.0  # the multiplier of the token constraint; infinite where every copy is needed
 
 
 def goals(sources: dict[str, Source], total: float | None) -> float:
@@ -59,7 +62,7 @@ def goals(sources: dict[str, Source], total: float | None) -> float:
     return total
 
 
-def _small(docs: DataFrame, sources: dict[str, Source], columns: dict) -> DataFrame:
+def _small(docs: DataFrame, sources: dict, columns: dict) -> DataFrame:
     rows = [(k, *[float(f(s)) for f in columns.values()]) for k, s in sources.items()]
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"{len(rows)} sources; at most {MOST_SOURCES}")
@@ -67,46 +70,60 @@ def _small(docs: DataFrame, sources: dict[str, Source], columns: dict) -> DataFr
     return docs.join(F.broadcast(small), "source")
 
 
-def balanced(docs: DataFrame, sources: dict[str, Source], steps: int = 30, close: float = 1e-9) -> None:
-    """Solves the dual; docs (source, tokens). Sets a and b of each source."""
+class Unsolved(RuntimeError):
+    """The dual wasn't solved within the steps given."""
+
+
+def _rate() -> Column:
+    """min(cap, exp(b x)); an infinite b is the cap itself."""
+    return F.least("cap", F.exp(F.least(F.lit(50.0), F.col("b") * F.col("tokens") / F.col("mean"))))
+
+
+_DUAL = {"b": lambda s: s.b, "cap": lambda s: s.cap, "mean": lambda s: s.tokens / s.documents}
+
+
+def balanced(docs: DataFrame, sources: dict[str, Source], steps: int = 60, close: float = 1e-10) -> int:
+    """Solves the dual; docs (source, tokens). Sets b of each source; returns the steps taken. Unsolved if they run out."""
     live = {k: s for k, s in sources.items() if s.goal > 0}
-    full = {k for k, s in live.items() if s.goal >= s.cap * s.tokens * (1 - 1e-12)}
-    for k in full:
-        live[k].a, live[k].b = float(np.log(live[k].cap)) + 1.0, 0.0
-    todo = {k: s for k, s in live.items() if k not in full}
-    for _ in range(steps):
-        if not todo:
-            return
-        d = _small(docs, todo, {"a": lambda s: s.a, "b": lambda s: s.b, "cap": lambda s: s.cap, "mean": lambda s: s.tokens / s.documents})
-        d = d.withColumn("x", F.col("tokens") / F.col("mean"))
-        d = d.withColumn("t", F.exp(F.least(F.lit(50.0), F.col("a") + F.col("b") * F.col("x"))))
-        d = d.withColumn("w", F.least("cap", "t")).withColumn("h", F.when(F.col("t") < F.col("cap"), F.col("t")).otherwise(0.0))
-        x = F.col("x")
-        rows = d.groupBy("source").agg(
-            F.sum("w").alias("w0"), F.sum(F.col("w") * x).alias("w1"),
-            F.sum("h").alias("h0"), F.sum(F.col("h") * x).alias("h1"), F.sum(F.col("h") * x * x).alias("h2"),
-        ).collect()  # one row per source
+    todo = {}
+    for k, s in live.items():
+        s.b = 0.0
+        if s.goal >= s.cap * s.tokens * (1 - 1e-12):
+            s.b = math.inf
+        elif abs(s.goal - min(1.0, s.cap) * s.tokens) > close * s.goal:
+            todo[k] = s
+    if not todo:
+        return 0
+    lengths = materialise(docs.where(F.col("source").isin(list(todo))).groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")))
+    bracket = {k: [-math.inf, math.inf] for k in todo}
+    for step in range(1, steps + 1):
+        d = _small(lengths, todo, _DUAL)
+        x = F.col("tokens") / F.col("mean")
+        d = d.select("source", "n", x.alias("x"), _rate().alias("w"), "cap")
+        free = F.when(F.col("w") < F.col("cap"), F.col("n") * F.col("w") * F.col("x") * F.col("x")).otherwise(0.0)
+        rows = d.groupBy("source").agg(F.sum(F.col("n") * F.col("w") * F.col("x")).alias("g"), F.sum(free).alias("h")).collect()  # one row per source
         for r in rows:
-            s = todo[r["source"]]
-            rate = s.goal / s.tokens
-            g = np.array([r["w0"] - rate * s.documents, r["w1"] - s.goal / (s.tokens / s.documents)])
-            if np.abs(g).max() <= close * max(1.0, rate * s.documents):
-                s.a, s.b = round(s.a, 9), round(s.b, 9)  # sums in another order must give the same copies
+            s, want = todo[r["source"]], todo[r["source"]].goal * todo[r["source"]].documents / todo[r["source"]].tokens
+            over = r["g"] - want
+            if abs(over) <= close * want:
+                s.b = round(s.b, 10)  # sums in another order must give the same copies
                 del todo[r["source"]]
                 continue
-            h = np.array([[r["h0"], r["h1"]], [r["h1"], r["h2"]]])
-            step = np.linalg.solve(h + 1e-9 * (np.trace(h) + 1e-12) * np.eye(2), g)
-            step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
-            s.a, s.b = s.a - float(step[0]), s.b - float(step[1])
+            low, high = bracket[r["source"]] = [s.b, bracket[r["source"]][1]] if over < 0 else [bracket[r["source"]][0], s.b]
+            new = s.b - over / r["h"] if r["h"] > 0 else math.nan
+            if not low < new < high:  # also where all documents are at the cap, or the curvature misleads
+                new = (low + high) / 2 if math.isfinite(low + high) else 2 * s.b + (1.0 if over < 0 else -1.0)
+            s.b = new
+        if not todo:
+            return step
+    raise Unsolved(f"no rates for {', '.join(sorted(todo))} within {steps} steps")
 
 
 def copies(docs: DataFrame, sources: dict[str, Source], id_: str) -> DataFrame:
     """(id_, source, tokens, rate, copies) of the documents with at least one copy. docs must be written or
     checkpointed: it is read more than once."""
     live = {k: s for k, s in sources.items() if s.goal > 0}
-    d = _small(docs, live, {"a": lambda s: s.a, "b": lambda s: s.b, "cap": lambda s: s.cap, "mean": lambda s: s.tokens / s.documents, "goal": lambda s: s.goal})
-    rate = F.least("cap", F.exp(F.least(F.lit(50.0), F.col("a") + F.col("b") * F.col("tokens") / F.col("mean"))))
-    d = d.withColumn("rate", rate)
+    d = _small(docs, live, _DUAL | {"goal": lambda s: s.goal}).withColumn("rate", _rate())
     d = d.withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_), F.lit("copies")), 11).cast("double") / float(1 << 53)
     odds = u / F.col("part")
@@ -118,10 +135,8 @@ def copies(docs: DataFrame, sources: dict[str, Source], id_: str) -> DataFrame:
     cut = bins.withColumn("upto", upto).join(need, "source").where("upto > need").groupBy("source").agg(
         F.min(F.struct("bin", (F.col("need") - F.col("upto") + F.col("n")).alias("left"))).alias("c")
     ).select("source", F.col("c.bin").alias("edge"), F.col("c.left").alias("left")).collect()  # one row per source
-    edge = {r["source"]: Source(0, 0, a=r["edge"], b=r["left"]) for r in cut}
-    for k in live:
-        edge.setdefault(k, Source(0, 0, a=BINS + 1, b=0.0))
-    d = _small(d, edge, {"edge": lambda s: s.a, "left": lambda s: s.b})
+    edge = {k: (BINS + 1, 0.0) for k in live} | {r["source"]: (r["edge"], r["left"]) for r in cut}
+    d = _small(d, edge, {"edge": lambda e: e[0], "left": lambda e: e[1]})
     inside = d.where(F.col("bin") == F.col("edge"))
     w = W.partitionBy("source").orderBy("at", id_).rowsBetween(W.unboundedPreceding, 0)
     inside = inside.withColumn("extra", (F.sum("tokens").over(w) - F.col("tokens") / 2 <= F.col("left")).cast("int"))

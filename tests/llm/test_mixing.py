@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from aerolith.llm import mixing
 
@@ -39,13 +41,44 @@ def test_caps_and_a_given_total(spark):
     assert half["b"].tokens == pytest.approx(half["b"].goal_tokens, abs=30) and half["a"].goal_tokens == 2 * half["a"].tokens_there
 
 
-def test_dual_keeps_lengths(spark):
-    docs = made(spark, [("a", 900, 3)])
+def test_rates_are_tilted_and_meet_the_token_constraint(spark):
+    """Against the dual solved by bisection over the documents themselves; caps are in it."""
+    docs = made(spark, [("a", 300, 3), ("b", 200, 2), ("c", 50, 9)])
+    sized = mixing.measured(docs, "doc_id", "text", "source")
+    tokens = {}
+    for r in sized.collect():
+        tokens.setdefault(r.source, []).append(r.tokens)
+    goals = {"a": (1.0, 0.4), "b": (3.0, 2.2), "c": (2.0, 2.0)}
+    s = {k: mixing.Source(1 / 3, cap, len(tokens[k]), sum(tokens[k]), sum(tokens[k]) * part) for k, (cap, part) in goals.items()}
+    assert mixing.balanced(sized, s) > 0
+    for k, (cap, _) in goals.items():
+        mean = s[k].tokens / s[k].documents
+        rate = lambda t, b: min(cap, math.exp(min(50.0, b * t / mean)))  # noqa: B023, E731
+        if k == "c":
+            assert s[k].b == math.inf
+        else:
+            low, high = -50.0, 50.0
+            for _ in range(200):
+                mid = (low + high) / 2
+                low, high = (mid, high) if sum(rate(t, mid) * t for t in tokens[k]) < s[k].goal else (low, mid)
+            assert s[k].b == pytest.approx(low, abs=1e-6)
+        assert sum(rate(t, s[k].b) * t for t in tokens[k]) == pytest.approx(s[k].goal, rel=1e-8)
+    out = mixing.copies(sized, s, "doc_id").collect()
+    rates = sorted({(r.tokens, round(r.rate, 9)) for r in out if r.source == "a"})
+    assert len({r for _, r in rates}) > 1 and [r for _, r in rates] == sorted((r for _, r in rates), reverse=True)  # shrinking: long ones less
+    grown = [r for _, r in sorted({(r.tokens, round(r.rate, 9)) for r in out if r.source == "b"})]
+    assert len(set(grown)) > 1 and grown == sorted(grown) and max(grown) <= 3  # growing: long ones more, to the cap
+    for k in goals:
+        assert sum(r.tokens * r.copies for r in out if r.source == k) == pytest.approx(s[k].goal, abs=max(tokens[k]) / 2 + 1)
+
+
+def test_a_dual_that_is_not_solved_raises(spark):
+    docs = made(spark, [("a", 90, 3)])
     sized = mixing.measured(docs, "doc_id", "text", "source")
     s = {"a": mixing.Source(1.0, 1.0, sized.count(), sized.groupBy().sum("tokens").first()[0])}
     s["a"].goal = s["a"].tokens * 0.4
-    mixing.balanced(sized, s)
-    assert s["a"].b == pytest.approx(0, abs=1e-5) and 2.718281828 ** s["a"].a == pytest.approx(0.4, rel=1e-4)
+    with pytest.raises(mixing.Unsolved):
+        mixing.balanced(sized, s, steps=1)
 
 
 def test_nothing(spark):
