@@ -9,8 +9,9 @@ them in or out. Longitudes are unrolled: a region may reach beyond +-180, and po
 there once more, 360 degrees on; a region that holds a pole spans all longitudes up to the pole.
 
 The nearby points of a point are the points in the box around its circle, by the same operator; the exact distance on
-the sphere decides. No cross join, nothing broadcast by hand; a crowded place is spread over strips, cells and time,
-and its ray crossings are partially aggregated before they move.
+the sphere decides, and is asked before a crossing moves. Rows of one key in one bin are first taken together with the
+box around them: only bins and keys whose boxes come near each other are looked at row by row. So neither the rows of
+one key nor the keys of a crowded place are paired off. No cross join, nothing broadcast by hand.
 
 Defined results: coordinates that are null, NaN or off the globe are nowhere. Rings may be open or closed; fewer than
 three vertices hold nothing. Repeated points are points of their own. Empty input, empty output.
@@ -138,19 +139,26 @@ def near_pairs(df: DataFrame, id_: str, key: Column, lat: str, lon: str, second:
     bucket = lambda s: F.floor(s / wide)
     at = [*BIN, "_t"]
     points = placed(unrolled(rows.withColumn("_t", bucket(F.col("s"))), "lat", "lon", reach(F.col("lat"), radius_km)), grid)
-    # places by the bins that their boxes touch; the edges are only made where two keys meet
+    # places by the bins that their boxes touch; the edges are only made where two keys come near each other
     places = rows.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "k", "s", "lat", "lon")])
     ring = box_ring(F.col("lat_a"), F.col("lon_a"), radius_km)
     south, north, west, east = ring[0]["lat"], ring[2]["lat"], ring[0]["lon"], ring[1]["lon"]
     touched = places.withColumn("_strip", F.explode(F.sequence(grid.strip(south), grid.strip(north))))
     touched = touched.withColumn("_cell", F.explode(F.sequence(grid.cell(F.col("_strip"), west), grid.cell(F.col("_strip"), east))))
     touched = touched.withColumn("_t", F.explode(F.sequence(bucket(F.col("s_a") - within_s), bucket(F.col("s_a") + within_s))))
-    # rows of one key are never held against each other, however many they are
-    meet = touched.select(*at, "k_a").distinct().join(points.select(*at, "k").distinct(), at).where("k <> k_a")
+    # one row per bin and key, with the box in space and time around its rows: rows of one key are never held against
+    # each other, and rows of two keys only where these boxes overlap
+    span = lambda low, high, name: [F.min(low).alias(f"{name}_lo"), F.max(high).alias(f"{name}_hi")]
+    boxes = touched.groupBy(*at, "k_a").agg(*span(south, north, "a"), *span(west, east, "o"), *span(F.col("s_a") - within_s, F.col("s_a") + within_s, "s"))
+    seen = points.groupBy(*at, "k").agg(*span("_lat", "_lat", "pa"), *span("_lon", "_lon", "po"), *span("s", "s", "ps"))
+    overlap = F.col("k") != F.col("k_a")
+    for c in "aos":
+        overlap = overlap & (F.col(f"{c}_lo") <= F.col(f"p{c}_hi")) & (F.col(f"p{c}_lo") <= F.col(f"{c}_hi"))
+    meet = boxes.join(seen, at).where(overlap).select(*at, "k_a", "k")
     touched = touched.join(meet, [*at, "k_a"]).withColumn("ring", ring)
     edges = ring_edges(touched, "id_a", "ring", [*at, "k", "s_a", "lat_a", "lon_a"]).where("lat1 <> lat2")
     edges = edges.where(F.col("_strip").between(grid.strip(F.least("lat1", "lat2")), grid.strip(F.greatest("lat1", "lat2"))))
-    also = (F.col("region") < F.col("id")) & (F.abs(F.col("s") - F.col("s_a")) <= within_s)
-    pairs = crossings(points, edges, ["id", "lat", "lon", "lat_a", "lon_a"], [*at, "k"], also)
-    pairs = pairs.where(haversine_km("lat", "lon", "lat_a", "lon_a") <= radius_km)
+    near = haversine_km("lat", "lon", "lat_a", "lon_a") <= radius_km  # before the crossings of a pair move
+    also = (F.col("region") < F.col("id")) & (F.abs(F.col("s") - F.col("s_a")) <= within_s) & near
+    pairs = crossings(points, edges, ["id"], [*at, "k"], also)
     return pairs.select(F.col("region").alias("id_a"), F.col("id").alias("id_b")).distinct()

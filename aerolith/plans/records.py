@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import archive, drift
 from ..operators.exactly_once import exactly_once, instant_seconds, later_copies
 from ..functions.identity import entity_key
-from ..operators.regions import near_pairs
+from ..operators.regions import Grid, near_pairs, points_in_regions
 from ..operators.spikes import implausible, judged, scatter
 from ..operators.trips import StopRule, clean_pings, stops_and_trips
 from ..session import materialise
@@ -42,6 +42,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.withColumnsRenamed({"id_a": "score_id_a", "id_b": "score_id_b"})
 
 
+#: Corners of an arrowhead, in degrees from the corner of its cell; it reaches over the cell and is not convex.
+ARROW = [(1.0, 0.5), (5.0, 11.5), (9.0, 0.5), (5.0, 4.0)]
+
+
+def p3_in_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Scored places by the regions that contain them: an arrowhead for every cell of ten degrees in use, also over the
+    date line."""
+    t = table(spark, d, "stream_scores")
+    cell = lambda c: (F.floor(F.col(c) / 10) * 10).cast("int")
+    cells = t.where("abs(latitude) <= 90 AND abs(longitude) <= 180").select(cell("latitude").alias("a"), cell("longitude").alias("o")).distinct()
+    ring = F.array(*[F.struct((F.col("a") + x).alias("lat"), (F.col("o") + y).alias("lon")) for x, y in ARROW])
+    regions = cells.select(F.format_string("%d:%d", "a", "o").alias("region"), ring.alias("ring"))
+    grid = Grid(400.0, 400.0)  # about as wide as the regions
+    return points_in_regions(t, regions, "score_id", "latitude", "longitude", "region", "ring", grid).withColumnRenamed("point", "score_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = implausible(table(spark, d, "aircraft_positions"), "icao24", instant_seconds("timestamp"), "log_seq")
     return found.select("log_seq", "field").distinct()
@@ -95,6 +111,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_exactly_once": p2_exactly_once,
     "p3_found": p3_found,
+    "p3_in_regions": p3_in_regions,
     "p4_found": p4_found,
     "p4_usual_scatter": p4_usual_scatter,
     "p5_found": p5_found,
@@ -127,6 +144,18 @@ ORACLES = {
         SELECT x.id AS score_id_a, y.id AS score_id_b
         FROM r x JOIN b y ON x.t = y.u AND x.id < y.id AND x.k <> y.k AND abs(x.s - y.s) <= 120
         WHERE 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((y.a - x.a) / 2), 2) + cos(x.a) * cos(y.a) * pow(sin((y.o - x.o) / 2), 2)))) <= 1.0""",
+    "p3_in_regions": """
+        WITH p AS (SELECT score_id, latitude AS y, unnest([longitude, longitude - 360, longitude + 360]) AS x FROM stream_scores
+            WHERE abs(latitude) <= 90 AND abs(longitude) <= 180),
+        c AS (SELECT DISTINCT CAST(floor(latitude / 10) * 10 AS INTEGER) AS a, CAST(floor(longitude / 10) * 10 AS INTEGER) AS o FROM stream_scores
+            WHERE abs(latitude) <= 90 AND abs(longitude) <= 180),
+        v AS (SELECT a || ':' || o AS region, a, o, [{'y': a + 1.0::DOUBLE, 'x': o + 0.5::DOUBLE}, {'y': a + 5.0::DOUBLE, 'x': o + 11.5::DOUBLE},
+            {'y': a + 9.0::DOUBLE, 'x': o + 0.5::DOUBLE}, {'y': a + 5.0::DOUBLE, 'x': o + 4.0::DOUBLE}] AS r FROM c),
+        e AS (SELECT region, a, o, r[i].y AS y1, r[i].x AS x1, r[i % 4 + 1].y AS y2, r[i % 4 + 1].x AS x2 FROM v, range(1, 5) g(i)),
+        j AS (SELECT score_id, region, p.x AS x, p.y AS y, x1, y1, x2, y2, x1 + (p.y - y1) / (y2 - y1) * (x2 - x1) AS hit FROM p JOIN e
+            ON p.y BETWEEN e.a + 1 AND e.a + 9 AND p.x BETWEEN e.o AND e.o + 12 AND p.y BETWEEN least(y1, y2) AND greatest(y1, y2))
+        SELECT DISTINCT score_id, region FROM j GROUP BY score_id, region, x
+        HAVING count(*) FILTER (y >= least(y1, y2) AND y < greatest(y1, y2) AND hit > x) % 2 = 1 OR bool_or(hit = x)""",
     "p5_found": """
         WITH rec AS (
             SELECT raw_file_id AS f, lane, file_seq, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM raw_records

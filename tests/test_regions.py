@@ -72,3 +72,20 @@ def test_points_in_polygons_and_on_their_edges(spark):
     assert {x[0] for x in points_in_regions(edge, one, "i", "a", "o", "r", "ring", boundary=True).collect()} == {1, 2, 3, 4, 5}
     assert {x[0] for x in points_in_regions(edge, one, "i", "a", "o", "r", "ring", boundary=False).collect()} == set()
     assert points_in_regions(edge.limit(0), one, "i", "a", "o", "r", "ring").count() == 0
+
+
+def test_keys_of_a_crowded_place_are_not_paired_off(spark):
+    """Many keys in one bin, none near another: no row gets past the boxes of the keys."""
+    from aerolith.operators import regions
+
+    rows = [(i, f"k{i}", 10 + 0.001 * (i % 20), 10 + 0.001 * (i // 20), 100 + i % 50) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    made, plain = [], regions.ring_edges
+    try:
+        regions.ring_edges = lambda t, *a: made.append(t) or plain(t, *a)
+        out = near_pairs(df, "id", entity_key("k"), "lat", "lon", "s", 0.05, 120)
+        assert out.count() == 0 and made[0].count() == 0
+    finally:
+        regions.ring_edges = plain
+    out = near_pairs(df, "id", entity_key("k"), "lat", "lon", "s", 0.115, 120).count()
+    assert out == sum(brute.hav(*x[2:4], *y[2:4]) <= 0.115 for x in rows for y in rows if x[0] < y[0]) > 300
