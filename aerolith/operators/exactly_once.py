@@ -4,12 +4,15 @@ An identifier (entity key, instant in whole seconds) is packed into 64 bits wher
 are 24 bits, the second has 39. A bijection of the 64 bits (three xor-shifts, so nothing can overflow and nothing
 is lost) spreads neighbouring identifiers; the upper bits are the quotient, which names the shard, and the table of
 a shard stores the complete remainder. Quotient and remainder together are the identifier, so there are no false
-matches. An identifier that doesn't fit keeps its own key and second beside the (null) packed form, in the same
-table. The tables are Spark's hash aggregates on (quotient, remainder): they are filled on the map side first, so
-an identifier that holds a third of all rows leaves each map task as one row.
-
-Defined results: a null or blank key or a null instant identifies nothing and is never a copy. Ties in the order
-column are one message. An empty input gives an empty output. Extra columns pass through, whatever their names.
+matches. An identifier that doesn't fit keeps its own key and second beside the packed form (its quotient is a hash of
+both), in the same table. Shards are what moves: every task first folds its own rows, so an identifier that holds a
+third of all rows leaves each task as one row, then identifiers go to the partition of their quotient, and the hash
+table there takes each once. Tables that are kept (`insert`) are folders by quotient: a later batch reads only the
+shards it has identifiers for.
+
+Defined results: a null or blank key or a null instant identifies nothing and is never a copy. The order column is
+unique but for repeated rows, which are one message. An empty input gives an empty output. Extra columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,19 +41,46 @@ def identified(df: DataFrame, key: Column, second: Column, quotient_bits: int =
     for shift, by in ((F.shiftleft, 13), (F.shiftrightunsigned, 7), (F.shiftleft, 17)):
         df = df.withColumn("_r", F.col("_r").bitwiseXOR(shift("_r", by)))
     return df.withColumns({
-        "_q": F.shiftrightunsigned("_r", 64 - quotient_bits).cast("int"),
+        "_q": F.coalesce(F.shiftrightunsigned("_r", 64 - quotient_bits).cast("int"), F.pmod(F.xxhash64("_k", "_s"), F.lit(1 << quotient_bits)).cast("int")),
         "_r": F.col("_r").bitwiseAND(F.lit((1 << (64 - quotient_bits)) - 1)),
         "_k": F.when(~F.col("_fits"), F.col("_k")),
         "_s": F.when(~F.col("_fits"), F.col("_s")),
     }).drop("_fits")
 
 
+IDENTIFIER = ["_q", "_r", "_k", "_s"]
+
+
+def shards(df: DataFrame, key: str, instant: Column, order: str, quotient_bits: int = 12) -> DataFrame:
+    """(_q, _r, _k, _s, first): the tables of all shards, each identifier once with the order value of its first copy.
+    Partitioned by _q."""
+    ident = identified(df.select(F.col(order).alias("_o"), entity_key(key).alias("_key"), instant.alias("_at")), F.col("_key"), F.col("_at"), quotient_bits)
+    ident = ident.where("_key IS NOT NULL AND _at IS NOT NULL").withColumn("_p", F.spark_partition_id())
+    folded = ident.groupBy("_p", *IDENTIFIER).agg(F.min("_o").alias("_o"))  # one row per task and identifier before anything moves
+    return folded.repartition("_q").groupBy(*IDENTIFIER).agg(F.min("_o").alias("first"))
+
+
 def first_copies(df: DataFrame, key: str, instant: Column, order: str, quotient_bits: int = 12) -> DataFrame:
     """The value of `order` of the first copy of every identified message: (first)."""
-    k = entity_key(key)
-    ident = identified(df.select(F.col(order).alias("_o"), k.alias("_key"), instant.alias("_at")), F.col("_key"), F.col("_at"), quotient_bits)
-    ident = ident.where("_key IS NOT NULL AND _at IS NOT NULL")
-    return ident.groupBy("_q", "_r", "_k", "_s").agg(F.min("_o").alias("first")).select("first")
+    return shards(df, key, instant, order, quotient_bits).select("first")
+
+
+def insert(batch: DataFrame, path: str, key: str, instant: Column, order: str, quotient_bits: int = 12) -> DataFrame:
+    """Inserts a batch into the kept tables at `path`; (first) of the identifiers that are new, written before it
+    returns. Only shards with identifiers of the batch are read. A batch is one folder beside the earlier ones, under
+    the hash of its lowest and highest order value, so a batch that is tried again after a failure gives the same."""
+    new = shards(batch, key, instant, order, quotient_bits)
+    span = batch.agg(F.xxhash64(F.min(order), F.max(order)).alias("h")).first()["h"]
+    spark, name = batch.sparkSession, f"batch={span & 0xFFFFFFFFFFFFFFFF:016x}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kinds = ", ".join(f"`{c}` {t}" for c, t in new.dtypes) + ", batch string"
+    if fs.exists(p):
+        old = spark.read.schema(kinds).parquet(path).where(F.col("batch") != name.removeprefix("batch="))
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) if c != "_q" else F.col("n._q") == F.col("o._q") for c in IDENTIFIER]
+        new = new.alias("n").join(old.alias("o"), same, "left_anti")
+    new.write.mode("overwrite").partitionBy("_q").parquet(f"{path}/{name}")
+    return spark.read.schema(kinds).parquet(path).where(F.col("batch") == name.removeprefix("batch=")).select("first")
 
 
 def later_copies(df: DataFrame, key: str, instant: Column, order: str, quotient_bits: int = 12) -> DataFrame:
@@ -63,14 +93,9 @@ def later_copies(df: DataFrame, key: str, instant: Column, order: str, quotient_
 
 
 def exactly_once(df: DataFrame, key: str, instant: Column, order: str, quotient_bits: int = 12) -> DataFrame:
-    """One copy of each message with all its columns: the first; rows that identify nothing all stay."""
-    k = entity_key(key)
-    known = k.isNotNull() & instant.isNotNull()
-    row = F.struct(F.col(order).alias("_o"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("_row"))
-    kept = (
-        identified(df.where(known).select(row.alias("_m"), k.alias("_key"), instant.alias("_at")), F.col("_key"), F.col("_at"), quotient_bits)
-        .groupBy("_q", "_r", "_k", "_s")
-        .agg(F.min("_m").alias("_m"))
-        .select(*[F.col(f"_m._row.c{i}").alias(c) for i, c in enumerate(df.columns)])
-    )
+    """One copy of each message with all its columns: the first; rows that identify nothing all stay. Whole rows move
+    once, by `order`."""
+    known = entity_key(key).isNotNull() & instant.isNotNull()
+    first = first_copies(df, key, instant, order, quotient_bits).withColumnRenamed("first", order)
+    kept = df.where(known).join(first, order, "left_semi").dropDuplicates([order])
     return kept.unionByName(df.where(~F.coalesce(known, F.lit(False))))

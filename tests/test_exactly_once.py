@@ -1,7 +1,7 @@
 import random
 
 import brute
-from aerolith.operators.exactly_once import exactly_once, instant_seconds, later_copies
+from aerolith.operators.exactly_once import exactly_once, first_copies, insert, instant_seconds, later_copies, shards
 
 SCHEMA = "log_seq bigint, icao24 string, timestamp bigint, _q string, first double"
 
@@ -43,3 +43,24 @@ def test_empty_ties_and_a_hot_identifier(spark):
     assert exactly_once(same, "icao24", instant_seconds("timestamp"), "log_seq").count() == 1
     hot = spark.range(5000).selectExpr("id AS log_seq", "'abcdef' AS icao24", "7L AS timestamp")
     assert later_copies(hot, "icao24", instant_seconds("timestamp"), "log_seq").count() == 4999
+
+
+def test_shards_are_partitioned_by_the_quotient(spark):
+    df = spark.createDataFrame(made(800, 5), SCHEMA)
+    t = shards(df, "icao24", instant_seconds("timestamp"), "log_seq", 6)
+    where = {}
+    for part, q in t.selectExpr("spark_partition_id() AS p", "_q").distinct().collect():
+        where.setdefault(q, set()).add(part)
+    assert len(where) > 3 and all(len(p) == 1 for p in where.values())
+    assert "hashpartitioning(_q" in t._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_inserted_into_kept_tables(spark, tmp_path):
+    rows = made(600, 7)
+    path = f"{tmp_path}/seen"
+    got = []
+    for part in (rows[:250], rows[250:400], rows[250:400], rows[400:]):  # one batch is tried again
+        df = spark.createDataFrame(part, SCHEMA)
+        got.append({r[0] for r in insert(df, path, "icao24", instant_seconds("timestamp"), "log_seq", 4).collect()})
+    whole = {r[0] for r in first_copies(spark.createDataFrame(rows, SCHEMA), "icao24", instant_seconds("timestamp"), "log_seq").collect()}
+    assert got[1] == got[2] and got[0] | got[1] | got[3] == whole and not got[0] & got[1] and not got[1] & got[3]
