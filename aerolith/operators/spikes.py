@@ -6,8 +6,15 @@ no regard to the source; candidates for spikes (at most three readings in a row
 before and after them give, and back again) and runs of equal values; and quantile sketches of the scatter around the
 course, by source, field and hour of the day. A sketch is a histogram over logarithmic bins: quantiles have a relative
 error of at most 2 %, sketches merge by adding counts, and the result depends on neither the partitioning nor chance.
-The merged sketch of a source gives its interquartile range, and with it the expanded fence that a candidate must
-leave.
+The merged sketches of a source give its interquartile range, over all hours and in each hour of the day, and with it
+the expanded fence that a candidate must leave: that of its hour, as far as the hour has readings of its own (few are
+drawn towards the source's overall range), but never less than the fence over all hours, which is what the source
+usually does. A rate of change is implausible as a deviation from the course: a jump that stays is a new level.
+
+A candidate block must also be one: its deviation is more than twice what the readings on both sides disagree by
+(so a course that itself breaks off is no spike), and each of its readings is off both courses by more than half of it.
+A run of equal values is stuck unless the aircraft rests: its usual speed in the run is under rest_speed or unknown, and
+its position, where there is any, moves by less than rest_spread degrees between the 10th and 90th percentile.
 
 Defined results: rows without key or time aren't judged; of several in one second the one with the lowest order value
 is. Null and NaN readings are skipped. A reading with nothing before or after it in its stretch is no spike. A source
@@ -59,6 +66,7 @@ class ReadingRule:
     rows_per_slice: int = 20_000
     halo: int = 1_000
     growth: float = dc_field(default=1.04)  # of the sketch's bins
+    hour_prior: float = 300.0  # readings that the overall range counts for in the range of an hour
 
 
 ZERO_BIN = -100_000
@@ -148,7 +156,7 @@ def _judge(rule: ReadingRule):
 
         def emit(kind, f, at, d):
             if len(at):
-                out.append(pd.DataFrame({"k": k[at], "field": f, "kind": kind, "log_seq": seq[at], "d": d, "hour": 0, "bin": 0, "cnt": 0}))
+                out.append(pd.DataFrame({"k": k[at], "field": f, "kind": kind, "log_seq": seq[at], "d": d, "hour": hour[at], "bin": 0, "cnt": 0}))
 
         for f in rule.fields:
             v = b[f.name].to_numpy(float)
@@ -235,12 +243,17 @@ def implausible(df: DataFrame, key: str, second: Column, order: str, rule: Readi
     """(log_seq, k, field, kind, d, fence): every reading that is impossible, a spike or stuck, once for each kind."""
     passed = judged(df, key, second, order, rule)
     # scatter is symmetric about the course: its interquartile range is twice the median of its absolute value
-    usual = scatter(passed, ["k", "field"], rule).select(
-        "k", "field", (F.lit(rule.scatter_times * 2 / IQR_SIGMAS) * F.col("q2")).alias("fence")
+    hours = scatter(passed, ["k", "field", "hour"], rule).groupBy("k", "field").agg(  # 24 at most
+        F.map_from_entries(F.collect_list(F.struct("hour", F.struct("readings", "q2")))).alias("hours")
     )
+    usual = scatter(passed, ["k", "field"], rule).select("k", "field", "q2").join(hours, ["k", "field"])
     salts = 16
     usual = usual.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     cases = passed.where("kind <> 'sketch'").withColumn("salt", F.pmod(F.hash("log_seq"), F.lit(salts)))
-    held = cases.join(usual, ["k", "field", "salt"], "left").withColumn("fence", F.coalesce("fence", F.lit(0.0)))
+    held = cases.join(usual, ["k", "field", "salt"], "left").withColumn("_h", F.try_element_at("hours", F.col("hour")))
+    n, prior = F.coalesce(F.col("_h.readings"), F.lit(0)), F.lit(rule.hour_prior)
+    own = (n * F.coalesce(F.col("_h.q2"), F.lit(0.0)) + prior * F.col("q2")) / (n + prior)
+    fence = F.lit(rule.scatter_times * 2 / IQR_SIGMAS) * F.greatest(F.col("q2"), own)
+    held = held.withColumn("fence", F.coalesce(fence, F.lit(0.0)))
     held = held.where((F.col("kind") != "spike") | (F.col("d") > F.col("fence")))
     return held.select("log_seq", "k", "field", "kind", "d", "fence")

@@ -52,6 +52,24 @@ def test_a_spike_is_held_against_the_scatter_of_its_source(spark):
     assert {c for c in cases(spark, rows) if c[2] == "spike"} == {(200, "gs", "spike")}
 
 
+def test_rough_hours_have_a_fence_of_their_own(spark):
+    """Calm in even hours, rough in odd ones: the roughness isn't taken for spikes, and the planted ones are found."""
+    rnd, rows = random.Random(6), flight(4 * 360 * 4, noise=1.0)
+    for r in rows:
+        r[5] = 40 + 0.0001 * r[0]
+        r[6] = 10 + 0.0001 * r[0]
+        if r[2] // 3600 % 2:
+            r[4] += rnd.gauss(0, 12)
+    quiet = next(i for i, r in enumerate(rows) if r[2] // 3600 == 2) + 100
+    rough = next(i for i, r in enumerate(rows) if r[2] // 3600 == 3) + 100
+    rows[quiet][4] += 150
+    rows[rough][4] += 400
+    found = {c for c in cases(spark, rows) if c[2] == "spike"}
+    assert {(quiet, "gs", "spike"), (rough, "gs", "spike")} <= found and len(found) <= 4
+    flat = {c for c in cases(spark, rows, hour_prior=1e12) if c[2] == "spike"}  # overall fence only
+    assert len(flat) > 4
+
+
 def test_rest_is_not_stuck_and_breaks_end_runs(spark):
     rows = [[i, "aa", 10 * i, 500.0, 0.0, 10.0 + 1e-4 * (i % 3), 10.0] for i in range(40)]
     assert cases(spark, rows) == set()
