@@ -2,8 +2,15 @@
 
 Records are JSON objects. The target schema is enforced: a field goes to the typed column its content belongs to,
 whatever name the file gave it; unknown fields and values that can't be cast are kept as JSON in a rescue column, and
-`replay` moves approved ones into typed columns later. Everything is built-in expressions over variants; the ledger is
-one row per file and field name, so a hot lane or file is aggregated before anything is ordered.
+`replay` moves approved ones into typed columns later. Ingestion also says what every record held: field, name, JSON
+type, whether the value was rescued, and a sketch of the value. The ledger is one row per file and field name out of
+that, so a hot lane or file is aggregated before anything is ordered.
+
+A field that goes while another comes is the same content under another name if the names agree without case and
+punctuation; if the words of one name are among those of the other (or among the approved names of its column) and the
+values look alike: a common pattern of digits and letters, and ranges that overlap; or if the values themselves agree
+(all minima of their hashes, and at least three different ones). Approved names (`ALIASES`) are the same content
+without further evidence. Each field is renamed to one other at most, the best evidence first.
 
 Defined results: a payload that isn't one JSON object is no readable record; it is kept whole in the rescue column. A
 null is no value and has no type; a field of nothing but nulls belongs to its file, without a type, and isn't retyped.
@@ -17,6 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.instants import utc_date
+from ..session import materialise
+
 #: Column -> names under which feeds carry its content, compared without case and punctuation.
 ALIASES = {
     "icao24": ["icao24", "icao", "hex"],
@@ -38,11 +48,22 @@ def _plain(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
 
+def words(name: Column) -> Column:
+    """The words of a name, in lower case: parts between punctuation and where lower case turns to upper."""
+    apart = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")
+    return F.filter(F.split(F.lower(apart), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def canonical(name: Column, aliases: dict[str, list[str]] = ALIASES) -> Column:
     """The column whose content a field of this name carries; else the name itself."""
+    return F.coalesce(approved_column(name, aliases), name)
+
+
+def approved_column(name: Column, aliases: dict[str, list[str]] = ALIASES) -> Column:
+    """The column for which a name is approved; else null."""
     pairs = {a: c for c, names in aliases.items() for n in names for a in ["".join(x for x in n.lower() if x.isalnum())]}
     known = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, _plain(name)), name)
+    return F.try_element_at(known, _plain(name))
 
 
 def opened(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -58,17 +79,34 @@ def json_type(value: Column) -> Column:
     )
 
 
-def ledger(df: DataFrame, file: str, lane: str, seq: str, payload: str = "payload", aliases: dict = ALIASES) -> DataFrame:
-    """(lane, file, idx, next_file, field, name, type): the fields of every readable file, with its place among the
-    readable files of the lane and the file after it. A readable file without any field has one row, field null."""
-    rec = opened(df.select(F.col(file).alias("file"), F.col(lane).alias("lane"), F.col(seq).alias("seq"), F.col(payload).alias("payload")))
-    rec = rec.where(F.col("_fields").isNotNull()).select("lane", "seq", "file", F.explode_outer("_fields").alias("name", "value"))
-    names = rec.groupBy("lane", "seq", "file", "name", json_type(F.col("value")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+#: Numbers of hash functions of a value sketch.
+MINIMA = 4
+
+
+def ledger(ingested: DataFrame, file: str, lane: str, seq: str, aliases: dict = ALIASES) -> DataFrame:
+    """(lane, file, idx, next_file, has_next, field, column, name, type, sketch) from `ingest`: the fields of every
+    readable file, with its place among the readable files of the lane and the file after it. field: the approved
+    column, else the name without case and punctuation. A readable file without any field has one row, field null."""
+    rec = ingested.where(F.col("_seen").isNotNull()).select(
+        F.col(lane).alias("lane"), F.col(seq).alias("seq"), F.col(file).alias("file"), F.explode_outer("_seen").alias("e")
+    ).select("lane", "seq", "file", "e.*")
+    number = F.expr("try_cast(text AS double)")
+    shape = F.regexp_replace(F.regexp_replace("text", "[0-9]", "9"), r"\p{L}", "a")
+    h = F.xxhash64("text")
+    bit = lambda x: F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(63)).cast("int")))
+    sketch = [
+        F.min(number).alias("lo"), F.max(number).alias("hi"), bit(F.xxhash64(shape)).alias("shapes"), bit(h).alias("values"),
+        *[F.min(F.xxhash64(h, F.lit(i))).alias(f"m{i}") for i in range(MINIMA)],
+    ]
+    names = rec.groupBy("lane", "seq", "file", "name", "type").agg(F.count(F.lit(1)).alias("n"), *sketch)
+    merged = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_or("shapes").alias("shapes"), F.bit_or("values").alias("values"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(MINIMA)]]
     names = names.groupBy("lane", "seq", "file", "name").agg(
-        F.sum("n").alias("n"), F.max(F.when(F.col("type").isNotNull(), F.struct("n", "type"))).alias("t")
+        F.sum("n").alias("n"), F.max(F.when(F.col("type").isNotNull(), F.struct("n", "type"))).alias("t"), F.struct(*merged).alias("sketch")
     )
-    fields = names.withColumn("field", canonical(F.col("name"), aliases)).groupBy("lane", "seq", "file", "field").agg(
-        F.min(F.struct((-F.col("n")).alias("n"), "name", F.col("t.type").alias("type"))).alias("b")
+    column = approved_column(F.col("name"), aliases)
+    plain = F.coalesce(F.nullif(_plain(F.col("name")), F.lit("")), F.col("name"))
+    fields = names.withColumn("field", F.coalesce(column, F.concat(F.lit("?"), plain))).groupBy("lane", "seq", "file", "field").agg(
+        F.min(F.struct((-F.col("n")).alias("n"), "name", F.col("t.type").alias("type"), "sketch")).alias("b")
     )
     files = fields.select("lane", "seq", "file").distinct()
     w = W.partitionBy("lane").orderBy("seq", "file")
@@ -79,27 +117,65 @@ def ledger(df: DataFrame, file: str, lane: str, seq: str, payload: str = "payloa
     files = files.withColumnsRenamed({"lane": "_lane", "seq": "_seq", "file": "_file"})
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("lane", "seq", "file")]
     return fields.join(files, same).select(
-        "lane", "file", "idx", "next_file", F.coalesce("has_next", F.lit(False)).alias("has_next"), "field", "b.name", "b.type"
+        "lane", "file", "idx", "next_file", F.coalesce("has_next", F.lit(False)).alias("has_next"), "field",
+        F.when(~F.col("field").startswith("?"), F.col("field")).alias("column"), "b.name", "b.type", "b.sketch",
     )
 
 
-def changes(led: DataFrame) -> DataFrame:
-    """(file, field, change): each file against the readable file before it in its lane."""
+def _alike(aliases: dict) -> Column:
+    """How strong the evidence is that the fields `r` (gone) and `a` (come) are one content: 2, 1, or 0."""
+    known = F.create_map(*[x for c, names in aliases.items() for x in (F.lit(c), F.array(*[F.lit("".join(ch for ch in n.lower() if ch.isalnum())) for n in names]))])
+    own = lambda s: F.coalesce(F.try_element_at(known, F.col(f"{s}.column")), words(F.col(f"{s}.name")))
+    r, a = own("r"), own("a")
+    listed = F.col("r.column").isNotNull() | F.col("a.column").isNotNull()
+    common = F.size(F.array_intersect(r, a)) > 0
+    held = (F.size(F.array_except(r, a)) == 0) | (F.size(F.array_except(a, r)) == 0)
+    named = F.when(listed, common).otherwise(common & held)
+    x, y = "r.sketch", "a.sketch"
+    shape = F.col(f"{x}.shapes").bitwiseAND(F.col(f"{y}.shapes")) != 0
+    overlap = F.coalesce((F.col(f"{x}.lo") <= F.col(f"{y}.hi")) & (F.col(f"{y}.lo") <= F.col(f"{x}.hi")), F.col(f"{x}.lo").isNull() == F.col(f"{y}.lo").isNull())
+    agree = F.bit_count(f"{x}.values") >= 3  # set bits: different values, at least
+    for i in range(MINIMA):
+        agree = agree & (F.col(f"{x}.m{i}") == F.col(f"{y}.m{i}"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    # two approved columns are two contents, whatever their values
+    both = F.col("r.column").isNotNull() & F.col("a.column").isNotNull()
+    return F.when(both, 0).when(yes(agree), 2).when(yes(named & shape & overlap), 1).otherwise(0)
+
+
+def changes(led: DataFrame, aliases: dict = ALIASES) -> DataFrame:
+    """(file, field, change): each file against the readable file before it in its lane. field: the approved column,
+    else the name (of a removed field its last one)."""
     w = W.partitionBy("lane", "field").orderBy("idx")
     x = led.where(F.col("field").isNotNull()).select(
         "*", F.lag(F.struct("idx", "name", "type")).over(w).alias("p"), F.lead("idx").over(w).alias("n")
     )
     went_on = F.coalesce(F.col("p.idx") == F.col("idx") - 1, F.lit(False))
-    here = lambda c: F.struct(F.col("file"), F.lit(c).alias("change"))
+    what = F.struct("column", "name", "type", "sketch")
+    here = lambda c: F.struct(F.col("file"), F.col("idx").alias("at"), F.lit(c).alias("change"), what.alias("f"))
     ends = F.col("has_next") & (F.coalesce(F.col("n"), F.lit(-1)) != F.col("idx") + 1)
     found = F.array(
         F.when((F.col("idx") > 0) & ~went_on, here("added")),
         F.when(went_on & (F.col("name") != F.col("p.name")), here("renamed")),
         F.when(went_on & (F.col("type") != F.col("p.type")), here("retyped")),
-        F.when(ends, F.struct(F.col("next_file").alias("file"), F.lit("removed").alias("change"))),
+        F.when(ends, F.struct(F.col("next_file").alias("file"), (F.col("idx") + 1).alias("at"), F.lit("removed").alias("change"), what.alias("f"))),
     )
-    x = x.select("field", F.explode(F.filter(found, lambda c: c.isNotNull())).alias("c"))
-    return x.select("c.file", "field", "c.change")
+    x = materialise(x.select("lane", F.explode(F.filter(found, lambda c: c.isNotNull())).alias("c")).select("lane", "c.*"))
+    label = F.coalesce("f.column", "f.name")
+    # what goes and what comes in one file, by their evidence; changes are few beside the records
+    side = lambda c, n: x.where(F.col("change") == c).select(F.col("lane").alias(f"{n}_lane"), F.col("at").alias(f"{n}_at"), F.col("file").alias(f"{n}_file"), F.col("f").alias(n))
+    both = side("removed", "r").join(side("added", "a"), F.col("r_lane").eqNullSafe(F.col("a_lane")) & (F.col("r_at") == F.col("a_at")))
+    both = both.withColumn("like", _alike(aliases)).where("like > 0")
+    # one to one: a pair stays if neither side has a better one
+    best = lambda s, o: F.row_number().over(W.partitionBy("a_lane", "a_at", f"{s}.name").orderBy(F.desc("like"), f"{o}.name"))
+    both = both.withColumn("_i", best("r", "a")).withColumn("_j", best("a", "r")).where("_i = 1 AND _j = 1")
+    pairs = both.select(F.col("a_lane").alias("lane"), F.col("a_at").alias("at"), F.col("a_file").alias("file"), "r", "a")
+    gone = F.explode(F.array(F.struct(F.lit("removed").alias("change"), F.col("r.name").alias("name")), F.struct(F.lit("added").alias("change"), F.col("a.name").alias("name"))))
+    out = pairs.select(F.col("lane").alias("_lane"), F.col("at").alias("_at"), gone.alias("_g"))
+    rest = x.join(out, F.col("lane").eqNullSafe(F.col("_lane")) & (F.col("at") == F.col("_at")) & (F.col("change") == F.col("_g.change")) & (F.col("f.name") == F.col("_g.name")), "left_anti")
+    field = F.coalesce("a.column", "r.column", "a.name")
+    turned = F.array_compact(F.array(F.lit("renamed"), F.when(F.col("a.type") != F.col("r.type"), "retyped")))
+    return rest.select("file", label.alias("field"), "change").unionByName(pairs.select("file", field.alias("field"), F.explode(turned).alias("change")))
 
 
 def _value_for(column: str):
@@ -111,10 +187,14 @@ def _named(column: str, aliases: dict, is_it: bool):
 
 
 def _instant(v: Column) -> Column:
-    """Epoch seconds or milliseconds, as number or text, or a date and time as text, in UTC."""
+    """Epoch seconds or milliseconds, as number or text, or a date and time as ISO-8601 text with or without fraction
+    and offset; without offset it is UTC, whatever the session's zone."""
     num = F.expr("try_cast(_v AS double)")
     sec = F.when(F.abs(num) >= 1e11, num / 1000).otherwise(num)
-    text = F.expr("try_to_timestamp(replace(replace(try_cast(_v AS string), 'T', ' '), 'Z', ''), 'yyyy-MM-dd HH:mm:ss')")
+    text = F.trim(F.expr("try_cast(_v AS string)"))
+    text = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    zoned = F.when(text.rlike(r"(?i)(z|[+-]\d{1,2}:\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
+    text = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[Tt ]\d"), F.upper(zoned).try_cast("timestamp"))
     del v
     return F.coalesce(F.timestamp_micros(F.round(sec * 1000000).cast("bigint")), text)
 
@@ -123,7 +203,8 @@ def ingest(
     df: DataFrame, keep: list[str], payload: str = "payload", target: dict[str, str] = TARGET, aliases: dict = ALIASES
 ) -> DataFrame:
     """keep + the typed target columns + date + _rescued (JSON object text of unknown and uncastable fields, whose
-    values are JSON texts; for an unreadable payload its text under the key _payload; null if nothing is left over)."""
+    values are JSON texts; for an unreadable payload its text under the key _payload; null if nothing is left over) +
+    _seen (what the record held: field, name, JSON type, whether it was rescued, value as text; null if unreadable)."""
     kept = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]  # no name of theirs can clash
     rec = opened(df.select(*kept, F.col(payload).alias("_payload")), "_payload")
     entries = F.transform(
@@ -146,8 +227,14 @@ def ingest(
     texts = F.map_from_entries(F.transform(left, lambda e: F.struct(e["name"], F.to_json(e["value"]))))
     whole = F.to_json(F.create_map(F.lit("_payload"), F.col("_payload")))
     rescued = F.when(F.col("_fields").isNull() & F.col("_payload").isNotNull(), whole).when(F.size(left) > 0, F.to_json(texts))
-    day = [F.to_date("_t_timestamp").alias("date")] if "timestamp" in target else []
-    return rec.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *out, *day, rescued.alias("_rescued"))
+    day = [utc_date(F.unix_seconds("_t_timestamp")).alias("date")] if "timestamp" in target else []
+    seen = F.transform(
+        "_e", lambda e: F.struct(
+            e["field"], e["name"], json_type(e["value"]).alias("type"),
+            (~e["field"].isin(list(target)) | F.array_contains(lost, e["field"])).alias("rescued"), F.when(~F.is_variant_null(e["value"]), F.to_json(e["value"])).alias("text"),
+        ),
+    )
+    return rec.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *out, *day, rescued.alias("_rescued"), seen.alias("_seen"))
 
 
 def replay(df: DataFrame, approved: dict[str, str], aliases: dict = ALIASES) -> DataFrame:

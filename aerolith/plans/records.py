@@ -70,16 +70,23 @@ def p4_usual_scatter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    led = drift.ledger(table(spark, d, "raw_records"), "raw_file_id", "lane", "file_seq")
-    return drift.changes(led).withColumnRenamed("file", "raw_file_id").distinct()
+    t = drift.ingest(table(spark, d, "raw_records"), ["raw_file_id", "lane", "file_seq"])
+    return drift.changes(drift.ledger(t, "raw_file_id", "lane", "file_seq")).withColumnRenamed("file", "raw_file_id").distinct()
 
 
 def p5_one_table(spark: SparkSession, d: str) -> DataFrame:
     """All raw records in the schema of bronze_positions, with what didn't fit and the squawk replayed from it."""
-    t = drift.ingest(table(spark, d, "raw_records"), ["rec_id", "raw_file_id"])
+    t = drift.ingest(table(spark, d, "raw_records"), ["rec_id", "raw_file_id"]).drop("_seen")
     return drift.replay(t, {"squawk": "string"}).withColumn("timestamp", F.unix_micros("timestamp"))
 
 
+def p5_typed(spark: SparkSession, d: str) -> DataFrame:
+    """The typed columns of every record, and how many of its fields are in the rescue column."""
+    t = p5_one_table(spark, d)
+    left = F.when(F.get_json_object("_rescued", "$._payload").isNull(), F.size(F.coalesce(F.json_object_keys("_rescued"), F.array().cast("array<string>"))))
+    return t.select("rec_id", "icao24", "latitude", "longitude", "flight", "reg", "timestamp", "squawk", left.alias("rescued"))
+
+
 _CONTENT = ["icao24", "latitude", "longitude", "flight", "reg", "timestamp", "date"]
 
 
@@ -116,6 +123,7 @@ QUERIES = {
     "p4_usual_scatter": p4_usual_scatter,
     "p5_found": p5_found,
     "p5_one_table": p5_one_table,
+    "p5_typed": p5_typed,
     "p6_found": p6_found,
     "p6_plan": p6_plan,
     "p6_archive": p6_archive,
@@ -126,6 +134,13 @@ _P2 = f"""
            CASE WHEN abs("timestamp") >= 100000000000 THEN CAST(floor("timestamp" / 1000.0) AS BIGINT) ELSE "timestamp" END AS s
     FROM aircraft_positions"""
 
+
+
+def _first(*names: str) -> str:
+    """The first non-null value under the names, in order."""
+    return "coalesce(" + ", ".join(f"p->>'$.{n}'" for n in names) + ")"
+
+
 ORACLES = {
     "p2_found": f"""
         WITH m AS ({_P2})
@@ -193,6 +208,20 @@ ORACLES = {
         UNION ALL SELECT raw_file_id, field, 'removed' FROM both_ WHERE n1 IS NULL
         UNION ALL SELECT raw_file_id, field, 'renamed' FROM both_ WHERE n0 <> n1
         UNION ALL SELECT raw_file_id, field, 'retyped' FROM both_ WHERE k0 <> k1""",
+    "p5_typed": f"""
+        WITH r AS (SELECT rec_id, payload, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload END AS p FROM raw_records),
+        v AS (SELECT rec_id, payload, p, {_first('hex', 'icao', 'icao24')} AS icao24, {_first('Latitude', 'lat', 'latitude')} AS la,
+            {_first('lng', 'lon', 'longitude')} AS lo, {_first('callsign', 'flight', 'flightId')} AS flight, {_first('reg', 'registration')} AS reg,
+            {_first('seen_at', 'timestamp', 'ts')} AS ts, p->>'$.squawk' AS squawk FROM r),
+        t AS (SELECT *, TRY_CAST(la AS DOUBLE) AS latitude, TRY_CAST(lo AS DOUBLE) AS longitude, TRY_CAST(ts AS DOUBLE) AS num FROM v),
+        u AS (SELECT *, CASE WHEN num IS NOT NULL THEN CAST(round(CASE WHEN abs(num) >= 1e11 THEN num / 1000 ELSE num END * 1000000) AS BIGINT)
+            ELSE epoch_us(TRY_CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP)) END AS "timestamp",
+            len(list_filter(json_keys(p), lambda k: k NOT IN ('hex', 'icao', 'icao24', 'Latitude', 'lat', 'latitude', 'lng', 'lon', 'longitude',
+                'callsign', 'flight', 'flightId', 'reg', 'registration', 'seen_at', 'timestamp', 'ts'))) AS other FROM t)
+        SELECT rec_id, icao24, latitude, longitude, flight, reg, "timestamp", squawk,
+            CASE WHEN p IS NULL THEN CASE WHEN payload IS NULL THEN 0 END ELSE CAST(other - CAST(squawk IS NOT NULL AS INTEGER)
+                + CASE WHEN la IS NOT NULL AND latitude IS NULL THEN 1 ELSE 0 END + CASE WHEN lo IS NOT NULL AND longitude IS NULL THEN 1 ELSE 0 END
+                + CASE WHEN ts IS NOT NULL AND "timestamp" IS NULL THEN 1 ELSE 0 END AS INTEGER) END AS rescued FROM u""",
     "p6_found": """
         WITH live AS (
             SELECT file_id, n_bytes FROM bronze_files
