@@ -65,8 +65,8 @@ class Encoder:
         self.count, self.offset, self.flat, self.done, self.seen = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0, 0
 
     def _number(self, b: Batch) -> np.ndarray:
-        if len(self.words.values) > self.words.most:
-            self.words = Words(self.words.most)
+        if self.words.full():
+            self.words = Words(self.words.most, self.words.bytes)
             self._reset()
         number = self.words.number(b)
         new = self.words.values[self.seen :]

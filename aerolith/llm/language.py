@@ -5,10 +5,18 @@ by follow-the-regularised-leader with an elastic net on a bounded, balanced samp
 calibrated by one temperature on held-out blocks. Labels are dirty, so after a first round blocks that contradict
 their label are left out and the model is trained anew.
 
-A text is scored by lines. The score of a line is a sum over its words, and the vector of a word is computed once per
-worker, so the cost of a corpus is that of cutting it into words. Comments, headings, fences and blank lines say
-nothing. The best sequence of languages over the lines of a document, with a cost for every change, gives segments;
-a short one between two of one language belongs to these. All texts are read whole.
+Document frequencies are those of the whole corpus, counted in a pass of their own.
+
+A text is scored by units: its lines, long ones cut at ends of sentences (else at blanks, else anywhere). The score of
+a unit is a sum over its words, and the vector of a word is computed once per worker, so the cost of a corpus is that
+of cutting it into words. Comments, headings, fences and blank lines say nothing; a comment between /* and */ goes over
+all its lines, and an asterisk outside one is a list's. The best sequence of languages over the units of a document,
+with a cost for every change, gives segments; a short one between two of one language belongs to these. All texts are
+read whole.
+
+Two temperatures: a sharp one, from held-out blocks that the model and their label agree on, weighs units against the
+cost of a change; the confidence that comes out uses another, fitted to all held-out blocks together with the share of
+wrong labels among them, so that it is the probability of the language and not of a dirty label.
 
 Defined results: null, empty and blank texts, and texts of nothing but comments and symbols, have no segment. Ties go
 to the language first in order. Unknown labels and blank labels teach nothing. Without any labelled document nothing
@@ -36,6 +44,8 @@ class Rule:
     sample_per_language: int = 120  # bound of the training sample: documents of each language
     bits: int = 15  # of the hashed n-grams
     longest_gram: int = 4
+    sample_chars: int = 200_000  # documents longer than this aren't in the sample; they are read like all others
+    unit_chars: int = 240  # lines of more than twice this are cut
     block_chars: int = 240  # of a training example
     alpha: float = 0.1
     beta: float = 1.0
@@ -47,20 +57,36 @@ class Rule:
     most_wrong: float = 0.35  # but never more than this part of a language's blocks
     least_steps: int = 800  # small samples are gone through more often
     doubt: float = 0.5  # blocks whose label gets no more than this from the first model are left out
-    change: float = 6.0  # cost of a change of language, in nats
+    change: float = 5.0  # cost of a change of language, in nats
     change_at_seam: float = 1.0  # the same at a fence, rule or tag
     chars_per_nat: float = 25.0  # a line can speak against a language by at most its length over this
     block: int = 300  # least characters of a block
 
 
-def grams(word: bytes, longest: int, mask: int) -> np.ndarray:
-    """Hashed n-grams of a word."""
-    s = word.decode("utf-8", "replace").lstrip(" ")
-    out = [b"w" + s.encode()]
-    e = f"^{s.lower()}$"
-    for n in range(2, longest + 1):
-        out += [e[i : i + n].encode() for i in range(len(e) - n + 1)]
-    return np.fromiter((zlib.crc32(g) & mask for g in out), np.int64, len(out))
+def grams(words: list[bytes], longest: int, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of words, one word after the other, and how many each has: the word itself, then the n-grams of
+    its lower case with its edges. Array operations over all words at once."""
+    texts = [w.decode("utf-8", "replace").lstrip(" ") for w in words]
+    edged = [f"^{t.lower()}$" for t in texts]
+    cp = np.frombuffer("".join(edged).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, edged), np.int64, len(edged))
+    start = np.cumsum(size) - size
+    each = [np.maximum(size - n + 1, 0) for n in range(2, longest + 1)]
+    count = 1 + sum(each, np.zeros(len(edged), np.int64))
+    at = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.int64)
+    out[at] = np.fromiter((zlib.crc32(b"w" + t.encode()) & mask for t in texts), np.int64, len(texts))
+    at = at + 1
+    word = np.repeat(np.arange(len(edged)), size)
+    place = np.arange(len(cp)) - start[word]
+    h = cp
+    for n, of in zip(range(2, longest + 1), each):
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + cp[n - 1 :] if len(cp) >= n else h[:0]
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
+        inside = np.flatnonzero(place[: len(h)] < of[word[: len(h)]])
+        out[at[word[inside]] + place[inside]] = ((mixed[inside] >> np.uint64(33)) & np.uint64(mask)).astype(np.int64)
+        at = at + of
+    return out, count
 
 
 #: Tags between which another language stands in HTML.
@@ -69,16 +95,66 @@ TAGS = re.compile(rb"</?(?:script|style)\b[^>]*>", re.I)
 
 @dataclass
 class Lines:
-    text: np.ndarray  # number of the text of each line
+    """Units of texts: lines, or parts of long lines."""
+
+    text: np.ndarray  # number of the text of each unit
+    line: np.ndarray  # number of the line, over all texts
     start: np.ndarray  # first byte
     stop: np.ndarray
-    chars: np.ndarray  # characters up to the first byte of each line, and up to its end
+    chars: np.ndarray  # characters up to the first byte of each unit, and up to its end
     ends: np.ndarray
     silent: np.ndarray  # comment, heading, fence or blank
     seam: np.ndarray  # a fence, rule or tag between blocks: the language may change here
 
 
-def lines_of(b: Batch) -> Lines:
+def _parts(data: np.ndarray, start: int, stop: int, unit: int) -> list[int]:
+    """Where a long line is cut, after about `unit` bytes each time: at the end of a sentence, else at a blank, else
+    between two characters."""
+    line = data[start:stop]
+    blank = np.flatnonzero(line[:-1] == 32) + 1
+    ends = blank[(blank > 1) & np.isin(line[np.maximum(blank - 2, 0)], np.frombuffer(b".!?;:", np.uint8))]
+    out, at = [], 0
+    while len(line) - at > 2 * unit:
+        cut = 0
+        for places in (ends, blank):
+            i = np.searchsorted(places, at + unit)
+            if i < len(places) and places[i] <= at + 2 * unit:
+                cut = int(places[i])
+                break
+        if not cut:
+            cut = at + unit
+            while line[cut] & 0xC0 == 0x80:
+                cut += 1
+        out.append(start + cut)
+        at = cut
+    return out
+
+
+def _commented(b: Batch, start: np.ndarray, stop: np.ndarray, first: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Lines of comments between /* and */, where the opening stands at the start of a line, or behind code with a line
+    that starts with an asterisk after it. An opening that is never closed in its text is none."""
+    data = b.data
+    n = len(data) - 8
+    opens = np.flatnonzero((data[:n] == 47) & (data[1 : n + 1] == 42))
+    silent = np.zeros(len(start) + 1, np.int64)
+    if not len(opens):
+        return silent[:-1].astype(bool)
+    closes = np.flatnonzero((data[:n] == 42) & (data[1 : n + 1] == 47))
+    line = np.searchsorted(start, opens, side="right") - 1
+    after = np.searchsorted(closes, opens + 2)
+    has = after < len(closes)
+    opens, line, close = opens[has], line[has], closes[after[has]] if len(closes) else closes
+    upto = np.searchsorted(start, close, side="right") - 1
+    follows = np.minimum(line + 1, len(start) - 1)
+    starred = (data[np.minimum(first[follows], n)] == 42) & ((data[np.maximum(opens - 1, 0)] == 32) | (data[np.maximum(opens - 1, 0)] == 9))
+    leads = opens == first[line]
+    ok = (upto > line) & (text[upto] == text[line]) & (leads | starred)
+    np.add.at(silent, line[ok] + ~leads[ok], 1)
+    np.add.at(silent, upto[ok] + 1, -1)
+    return np.cumsum(silent[:-1]) > 0
+
+
+def lines_of(b: Batch, unit: int = Rule.unit_chars) -> Lines:
     data = b.data[:-8]
     n = len(data)
     cut = np.zeros(n + 1, bool)
@@ -87,7 +163,7 @@ def lines_of(b: Batch) -> Lines:
     start = np.flatnonzero(cut[:n])
     if not len(start):
         z = np.zeros(0, np.int64)
-        return Lines(z, z, z, z, z, z.astype(bool), z.astype(bool))
+        return Lines(z, z, z, z, z, z, z.astype(bool), z.astype(bool))
     stop = np.r_[start[1:], n]
     upto = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
     ink = np.flatnonzero(data > 32)
@@ -97,9 +173,10 @@ def lines_of(b: Batch) -> Lines:
     bom = (b.data[np.minimum(first, n)] == 0xEF) & (b.data[np.minimum(first + 1, n)] == 0xBB) & (b.data[np.minimum(first + 2, n)] == 0xBF)
     first = np.where(bom & (first < stop), first + 3, first)
     blank = first >= stop
+    text = np.searchsorted(b.text_at, start, side="right") - 1
     c = [b.data[np.minimum(first + j, n)] for j in range(4)]
     is_ = lambda j, ch: c[j] == ord(ch)
-    silent = blank | (is_(0, "/") & (is_(1, "/") | is_(1, "*"))) | (is_(0, "*") & ((c[1] <= 32) | is_(1, "/")))
+    silent = blank | (is_(0, "/") & (is_(1, "/") | is_(1, "*"))) | (is_(0, "*") & is_(1, "/")) | _commented(b, start, stop, first, text)
     silent |= is_(0, "#") & ((c[1] <= 32) | is_(1, "#") | is_(1, "!"))
     silent |= is_(0, "-") & is_(1, "-") & ((c[2] <= 32) | is_(2, "-"))
     silent |= is_(0, "<") & is_(1, "!") & is_(2, "-")
@@ -111,8 +188,18 @@ def lines_of(b: Batch) -> Lines:
         seam[i] = True
         silent[i] |= first[i] == m.start()
     silent |= seam & ~blank & (is_(0, "-") | is_(0, "#") | is_(0, "`") | is_(0, "~") | is_(0, "'") | is_(0, '"') | is_(0, "="))
-    text = np.searchsorted(b.text_at, start, side="right") - 1
-    return Lines(text, start, stop, upto[start], upto[stop], silent, seam & ~blank)
+    seam &= ~blank
+    line = np.arange(len(start))
+    long = np.flatnonzero((stop - start > 2 * unit) & ~silent)
+    if len(long):
+        more = [_parts(data, int(start[i]), int(stop[i]), unit) for i in long]
+        where = np.repeat(long, [len(m) for m in more])
+        begin = np.r_[start, np.fromiter((x for m in more for x in m), np.int64)]
+        order = np.argsort(begin, kind="stable")
+        start, line = begin[order], np.r_[line, where][order]
+        whole = order < len(stop)
+        stop, silent, seam, text = np.r_[start[1:], n], silent[line], seam[line] & whole, text[line]
+    return Lines(text, line, start, stop, upto[start], upto[stop], silent, seam)
 
 
 def _spoken(b: Batch) -> np.ndarray:
@@ -120,10 +207,12 @@ def _spoken(b: Batch) -> np.ndarray:
 
 
 class Model:
-    """Weights of the n-grams that have any, IDF, bias and temperature."""
+    """Weights of the n-grams that have any, IDF, bias, the temperatures of the path and of the confidence, and the
+    share of wrong labels that the fit of the latter found."""
 
-    def __init__(self, names, rule: Rule, weights: np.ndarray, idf: np.ndarray, bias: np.ndarray, temperature: float):
+    def __init__(self, names, rule: Rule, weights: np.ndarray, idf: np.ndarray, bias: np.ndarray, temperature: float, calibration: tuple[float, float] = (1.0, 0.0), noise: float = 0.0, unit: float = 1.0):
         self.names, self.rule, self.bias, self.temperature = list(names), rule, bias.astype(np.float32), temperature
+        self.calibration, self.noise, self.unit = calibration, noise, unit  # unit: the squared norm of a usual block
         self.rows = np.flatnonzero(np.abs(weights).sum(axis=1) > 0)
         self.weights, self.idf = weights[self.rows].astype(np.float32), idf.astype(np.float32)
 
@@ -134,13 +223,22 @@ class Model:
         t[:, -1] = self.idf**2
         return t
 
+    def logits(self, sums: np.ndarray) -> np.ndarray:
+        return sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1e-9)) + self.bias
+
     def scores(self, sums: np.ndarray) -> np.ndarray:
-        """Log-probabilities from sums of word vectors."""
-        z = sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1e-9)) + self.bias
-        z = z / self.temperature
+        """Log-probabilities from sums of word vectors, for the path."""
+        z = self.logits(sums) / self.temperature
         z = z - z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+    def confidences(self, sums: np.ndarray) -> np.ndarray:
+        """Probabilities: a longer text gives surer logits, by the growth that held-out texts show."""
+        c, growth = self.calibration
+        z = self.logits(sums) * (np.maximum(sums[:, -1:], 1e-9) / self.unit) ** growth / c
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
 
 class _Ftrl:
     """Follow-the-regularised-leader, per coordinate, for a softmax."""
@@ -176,11 +274,33 @@ class _Ftrl:
         self.bn += g * g
 
 
-def train(texts: list[str], labels: list[int], names: list[str], rule: Rule = Rule()) -> Model:
+def calibrated(s: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """(temperature, growth, share of wrong labels) that explain the labels of held-out logits best: the logits count
+    for length ** growth / temperature, and a label is the true one, or, with that share, any of the others."""
+    best, found, k = np.inf, (1.0, 0.0, 0.0), s.shape[1]
+    if len(y) < 20 or k < 2:
+        return found
+    s = s - s.max(axis=1, keepdims=True)
+    for growth in (0.0, 0.1, 0.2, 0.3, 0.4, 0.5):
+        longer = (length**growth)[:, None]
+        for c in np.geomspace(0.02, 5, 60):
+            z = s * longer / c
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            p = e[np.arange(len(y)), y] / e.sum(axis=1)
+            for noise in (0.0, 0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.13, 0.16, 0.2, 0.25, 0.3, 0.4):
+                loss = -np.log((1 - noise) * p + noise / (k - 1) * (1 - p) + 1e-12).mean()
+                if loss < best:
+                    best, found = loss, (float(c), growth, noise)
+    return found
+
+
+def train(texts: list[str], labels: list[int], names: list[str], rule: Rule = Rule(), frequency: tuple[int, np.ndarray] | None = None) -> Model:
+    """frequency: the number of documents of the corpus and of those that hold each n-gram; without it the texts are
+    the corpus."""
     size, k = 1 << rule.bits, len(names)
     y_of = np.asarray(labels)
     b = split(texts)
-    ln = lines_of(b)
+    ln = lines_of(b, rule.unit_chars)
     words = Words()
     at = _spoken(b)
     number = words.number(b, at)
@@ -196,20 +316,17 @@ def train(texts: list[str], labels: list[int], names: list[str], rule: Rule = Ru
     text_of_block = np.zeros(block_of_line.max() + 1, np.int64)
     text_of_block[block_of_line] = ln.text
     block = block_of_line[line]
-    lists = [grams(v, rule.longest_gram, size - 1) for v in words.values]
-    count = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat, offset = np.concatenate(lists).astype(np.int32), np.cumsum(count) - count
+    flat, count = grams(words.values, rule.longest_gram, size - 1)
+    flat, offset = flat.astype(np.int32), np.cumsum(count) - count
     order = np.argsort(block, kind="stable")
     block, number = block[order], number[order]
     reps = count[number]
     pos = np.cumsum(reps) - reps
     feature = flat[np.repeat(offset[number] - pos, reps) + np.arange(reps.sum())]
     edge = np.r_[0, np.cumsum(np.bincount(block, weights=reps, minlength=len(text_of_block)))].astype(np.int64)
-    # IDF over the documents of the sample; the blocks of a text follow each other
-    df, turn = np.zeros(size, np.int64), np.flatnonzero(np.r_[True, text_of_block[1:] != text_of_block[:-1], True])
-    for a, z in zip(turn, turn[1:]):
-        df[np.unique(feature[edge[a] : edge[z]])] += 1
-    idf = (np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32)
+    if frequency is None:
+        frequency = len(texts), _frequencies(b, ln, words, flat, count, size)
+    idf = (np.log((1 + frequency[0]) / (1 + frequency[1])) + 1).astype(np.float32)
     square = np.r_[0, np.cumsum(idf[feature] ** 2, dtype=np.float64)]
     norm = np.sqrt(np.maximum(square[edge[1:]] - square[edge[:-1]], 1e-12))
     del square
@@ -260,7 +377,7 @@ def train(texts: list[str], labels: list[int], names: list[str], rule: Rule = Ru
     keep = s.argmax(axis=1) == y[out] if len(out) else np.zeros(0, bool)
     best, temperature = np.inf, 1.0
     if keep.sum() >= 20:
-        # labels that the model contradicts are mostly wrong ones; a tenth of them stays in the loss as errors
+        # labels that the model contradicts are mostly wrong ones: this temperature is for the path only
         q, t = s[keep], y[out][keep]
         for c in np.geomspace(0.02, 5, 60):
             z = q / c
@@ -269,7 +386,69 @@ def train(texts: list[str], labels: list[int], names: list[str], rule: Rule = Ru
             loss = -np.log(0.999 * np.exp(lp) + 0.001 / k).mean() + 0.002 / c
             if loss < best:
                 best, temperature = loss, float(c)
-    return Model(names, rule, m.weights(), idf, m.bias(), temperature)
+    # the confidence is fitted to blocks and to whole held-out texts: logits and squared norms of a text follow from
+    # those of its blocks
+    if not len(out):
+        return Model(names, rule, m.weights(), idf, m.bias(), temperature)
+    square, (of, inv) = (norm[out] ** 2)[:, None], np.unique(text_of_block[out], return_inverse=True)
+    raw, whole = np.zeros((len(of), k)), np.zeros((len(of), 1))
+    np.add.at(raw, inv, (s - m.bias()) * np.sqrt(square))
+    np.add.at(whole, inv, square)
+    unit = float(np.median(square))
+    every, labels_ = np.r_[s, raw / np.sqrt(whole) + m.bias()], np.r_[y[out], y_of[of]]
+    c, growth, noise = calibrated(every, np.r_[square, whole][:, 0] / unit, labels_)
+    return Model(names, rule, m.weights(), idf, m.bias(), temperature, (c, growth), noise, unit)
+
+
+def _frequencies(b: Batch, ln: Lines, words: Words, flat: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+    """In how many of the texts of a batch each n-gram is; a text counts once, whole, without its silent lines."""
+    at = _spoken(b)
+    line = np.searchsorted(ln.start, b.start[at], side="right") - 1
+    loud = ~ln.silent[line]
+    pair = np.unique(ln.text[line[loud]] * np.int64(len(words.values) + 1) + words.number(b, at[loud]))
+    text, number = pair // (len(words.values) + 1), pair % (len(words.values) + 1)
+    offset, df = np.cumsum(count) - count, np.zeros(size, np.int64)
+    here = np.zeros((64, size), bool)
+    edge = np.searchsorted(text, np.arange(0, len(b.text_at) + 63, 64))
+    for i, (x, z) in enumerate(zip(edge, edge[1:])):
+        if z > x:
+            reps = count[number[x:z]]
+            begin = np.cumsum(reps) - reps
+            f = flat[np.repeat(offset[number[x:z]] - begin, reps) + np.arange(reps.sum())]
+            here[:] = False
+            here[np.repeat(text[x:z] - 64 * i, reps), f] = True
+            df += here.sum(axis=0)
+    return df
+
+
+def document_frequencies(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> tuple[int, np.ndarray]:
+    """The number of documents and, of each hashed n-gram, of the documents that hold it: over all of them, whole. The
+    driver sees one row per n-gram (2**bits at most)."""
+    size = 1 << rule.bits
+
+    def run(batches):
+        words, flat, count, df, n = Words(200_000), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(size, np.int64), 0
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            n += len(texts)
+            for a, z in portions(texts):
+                b = split(texts[a:z])
+                if not len(b.start):
+                    continue
+                if words.full():
+                    words, flat, count = Words(words.most), flat[:0], count[:0]
+                words.number(b, _spoken(b))
+                more = grams(words.values[len(count) :], rule.longest_gram, size - 1)
+                flat, count = np.r_[flat, more[0].astype(np.int32)], np.r_[count, more[1]]
+                df += _frequencies(b, lines_of(b, rule.unit_chars), words, flat, count, size)
+        there = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, there], pa.int32()), pa.array(np.r_[n, df[there]], pa.int64())], names=["gram", "n"])
+
+    rows = docs.select(text).mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(size + 1, np.int64)
+    for r in rows:
+        df[r[0]] = r[1]
+    return int(df[-1]), df[:-1]
 
 
 def best_path(score: np.ndarray, text: np.ndarray, change: np.ndarray) -> np.ndarray:
@@ -319,15 +498,17 @@ class Reader:
         self.seen = 0
 
     def _numbers(self, b: Batch, at: np.ndarray) -> np.ndarray:
-        if len(self.words.values) > self.words.most:
+        if self.words.full():
             self.words, self.seen = Words(self.words.most), 0
         number = self.words.number(b, at)
         r = self.model.rule
         total = len(self.words.values)
         while len(self.vectors) < total:
             self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-        for i in range(self.seen, total):
-            self.vectors[i] = self.grid[grams(self.words.values[i], r.longest_gram, (1 << r.bits) - 1)].sum(axis=0)
+        for i in range(self.seen, total, 20_000):
+            part = self.words.values[i : min(i + 20_000, total)]
+            flat, count = grams(part, r.longest_gram, (1 << r.bits) - 1)
+            self.vectors[i : i + len(part)] = np.add.reduceat(self.grid[flat], np.cumsum(count) - count, axis=0)
         self.seen = total
         return number
 
@@ -335,7 +516,7 @@ class Reader:
         """For each text (language, first line, last line, characters, confidence) of its segments."""
         out: list[list[tuple]] = [[] for _ in texts]
         b = split(texts)
-        ln = lines_of(b)
+        ln = lines_of(b, self.model.rule.unit_chars)
         if not len(ln.start):
             return out
         m, r = self.model, self.model.rule
@@ -364,23 +545,22 @@ class Reader:
         for i, (a, z) in enumerate(zip(runs.tolist(), last.tolist())):
             by.setdefault(int(text[a]), []).append([int(state[a]), a, z, total[i]])
         chars = lambda s: int(ln.ends[mine[s[2]]] - ln.chars[mine[s[1]]])
-        for t, segs in by.items():
-            merged = True
-            while merged and len(segs) > 2:
-                merged = False
-                for i in range(1, len(segs) - 1):
-                    if segs[i - 1][0] == segs[i + 1][0] and chars(segs[i]) < r.block:
-                        segs[i - 1 : i + 2] = [[segs[i - 1][0], segs[i - 1][1], segs[i + 1][2], segs[i - 1][3] + segs[i + 1][3]]]
-                        merged = True
-                        break
-            p = np.exp(m.scores(np.stack([s[3] for s in segs])))
+        for t, every in by.items():
+            segs: list[list] = []
+            for s in every:  # a short one between two of one language is part of them
+                if len(segs) > 1 and segs[-2][0] == s[0] and chars(segs[-1]) < r.block:
+                    segs.pop()
+                    segs[-1] = [s[0], segs[-1][1], s[2], segs[-1][3] + s[3]]
+                else:
+                    segs.append(s)
+            p = m.confidences(np.stack([s[3] for s in segs]))
             for s, q in zip(segs, p):
                 a, z = mine[s[1]], mine[s[2]]
                 end = int(ln.ends[z])
                 # without the end of the last line
                 tail = b.data[ln.start[z] : ln.stop[z]]
                 end -= int((tail[-2:] == 10).sum() + (tail[-2:] == 13).sum())
-                out[t].append((m.names[s[0]], int(a - top[t]), int(z - top[t]), end - int(ln.chars[a]), float(q[s[0]])))
+                out[t].append((m.names[s[0]], int(ln.line[a] - ln.line[top[t]]), int(ln.line[z] - ln.line[top[t]]), end - int(ln.chars[a]), float(q[s[0]])))
         return out
 
 
@@ -395,17 +575,19 @@ def labelled(docs: DataFrame, names: DataFrame, id_: str, lang: str) -> DataFram
 
 def fitted(docs: DataFrame, names: DataFrame, id_: str = "doc_id", text: str = "text", lang: str = "lang", rule: Rule = Rule()) -> Model:
     """A model from at most rule.sample_per_language documents of each language: those with the lowest hash of their
-    id. Only this bounded sample comes to the driver."""
+    id, of at most rule.sample_chars characters. Only this bounded sample comes to the driver, and the document
+    frequencies of the corpus."""
     languages = [r[0] for r in names.select("lang").distinct().orderBy("lang").collect()]  # a fixed table
-    ids = labelled(docs, names, id_, lang).where(F.col("known").isNotNull()).groupBy(id_).agg(F.min("known").alias("known"))
+    fits = F.length(text).between(rule.block, rule.sample_chars)
+    ids = labelled(docs.where(fits), names, id_, lang).where(F.col("known").isNotNull()).groupBy(id_).agg(F.min("known").alias("known"))
     w = W.partitionBy("known").orderBy(F.xxhash64(F.col(id_), F.lit("sample")), id_)
     ids = ids.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rule.sample_per_language).select(id_, "known")
-    rows = docs.select(id_, text).where(F.length(text) >= rule.block).join(F.broadcast(ids), id_)
+    rows = docs.select(id_, text).where(fits).join(F.broadcast(ids), id_)
     rows = rows.groupBy(id_, "known").agg(F.min(text).alias(text)).select(id_, text, "known").orderBy(id_).collect()  # one row per id
     if not rows:
         raise ValueError("no labelled document to learn from")
     place = {n: i for i, n in enumerate(languages)}
-    return train([r[1] for r in rows], [place[r[2]] for r in rows], languages, rule)
+    return train([r[1] for r in rows], [place[r[2]] for r in rows], languages, rule, document_frequencies(docs, text, rule))
 
 
 def read(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

@@ -109,15 +109,19 @@ def split(texts: list[str]) -> Batch:
 
 
 class Words:
-    """Numbers for slices, the same for equal slices over all batches seen; what is kept is bounded by `most`."""
+    """Numbers for slices, the same for equal slices over all batches seen; what is kept between batches is bounded by
+    `most` slices and `bytes` of them."""
 
-    def __init__(self, most: int = 1_500_000):
-        self.most, self.numbers, self.values = most, {}, []
+    def __init__(self, most: int = 1_500_000, bytes: int = 64 << 20):
+        self.most, self.bytes, self.numbers, self.values, self.size = most, bytes, {}, [], 0
+
+    def full(self) -> bool:
+        return len(self.values) > self.most or self.size > self.bytes
 
     def number(self, b: Batch, keep: np.ndarray | None = None) -> np.ndarray:
         """The number of each slice (of those in `keep`); self.values[number] are its bytes."""
-        if len(self.values) > self.most:
-            self.__init__(self.most)
+        if self.full():
+            self.__init__(self.most, self.bytes)
         start, length = (b.start, b.length) if keep is None else (b.start[keep], b.length[keep])
         key = np.zeros(len(start), np.uint64)
         for j in range(7):
@@ -141,6 +145,7 @@ class Words:
         if n is None:
             n = self.numbers[k] = len(self.values)
             self.values.append(k if isinstance(k, bytes) else (k & ((1 << 56) - 1)).to_bytes(7, "little")[: k >> 56])
+            self.size += len(self.values[-1])
         return n
 
 

@@ -33,6 +33,74 @@ def test_segments(model):
     assert langs(model, comment) == [["go"]]
 
 
+def test_one_long_line_of_two_languages(model):
+    two = (EN * 7).strip() + " " + (DE * 7).strip()
+    seg = language.Reader(model).segments([two, two.replace(". ", ".\n")])
+    assert [s[0] for s in seg[0]] == [s[0] for s in seg[1]] == ["en", "de"]
+    assert all(abs(s[3] - 550) < 120 for s in seg[0]) and seg[0][0][1:3] == (0, 0) and seg[0][1][1:3] == (0, 0)
+    assert sum(s[3] for s in seg[0]) == len(two)
+    assert langs(model, "x" * 100_000, EN.replace(" ", "\u00a0") * 40)[1] == ["en"]
+
+
+def test_lists_are_prose_and_comments_are_not(model):
+    assert langs(model, ("* " + EN + "\n") * 8) == [["en"]]
+    inside = GO * 4 + "/*\n" + (EN + "\n") * 8 + "*/\n" + GO * 4
+    assert langs(model, inside, inside.replace("*/\n", "\n")) == [["go"], ["go", "en", "go"]]  # one that is never closed is none
+    star = GO * 4 + "\tx := 1 /* why:\n" + (" * " + EN + "\n") * 8 + " */\n" + GO * 4
+    assert langs(model, star) == [["go"]]
+    assert langs(model, "cp dir/* out\n" + EN * 6 + "\nls */\n") == [["en"]]
+
+
+def test_a_short_block_without_fences_is_found(model):
+    block = (DE * 4).replace(". ", ".\n")
+    assert 300 <= len(block) <= 350
+    assert langs(model, EN.replace(". ", ".\n") * 8 + block + EN.replace(". ", ".\n") * 8) == [["en", "de", "en"]]
+
+
+def test_grams_of_many_words_are_those_of_each():
+    words = [b"river", b" The", "Gr\u00fcnde".encode(), b"x", "\u0130stanbul".encode(), b"", b"river"]
+    flat, count = language.grams(words, 4, 1023)
+    at = np.cumsum(count) - count
+    for w, a, n in zip(words, at, count):
+        one, size = language.grams([w], 4, 1023)
+        assert size[0] == n and (one == flat[a : a + n]).all()
+    edged = len("^river$")
+    assert count[0] == 1 + sum(edged - n + 1 for n in (2, 3, 4)) and 0 <= flat.min() and flat.max() < 1024
+
+
+def test_document_frequencies_cover_every_document(spark):
+    texts = [EN, EN + DE, "", None, "x " * 5, GO]
+    n, df = language.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    rule, want = language.Rule(), np.zeros(1 << language.Rule().bits, int)
+    for t in texts:
+        b = language.split([t or ""])
+        seen = {bytes(b.data[i : i + k]) for i, k in zip(b.start[language._spoken(b)], b.length[language._spoken(b)])}
+        if seen:
+            want[np.unique(language.grams(sorted(seen), rule.longest_gram, len(want) - 1)[0])] += 1
+    assert n == 6 and (df == want).all()
+
+
+def test_confidence_is_the_share_of_right_labels():
+    """Reliability by bin, on blocks that the model hasn't seen; labels are wrong at a known rate."""
+    rng = np.random.default_rng(4)
+    k, n, noise = 5, 6000, 0.12
+    truth = rng.integers(0, k, n)
+    s = rng.normal(size=(n, k)) * 1.5
+    s[np.arange(n), truth] += 3.0
+    p = np.exp(s) / np.exp(s).sum(axis=1, keepdims=True)
+    truth = np.array([rng.choice(k, p=q) for q in p])  # now p is the truth about the truth
+    label = np.where(rng.random(n) < noise, (truth + rng.integers(1, k, n)) % k, truth)
+    temperature, _, wrong = language.calibrated(s / 3.0, np.ones(n), label)
+    assert wrong == pytest.approx(noise, abs=0.04)
+    z = s / 3.0 / temperature
+    q = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    top, sure = q.argmax(axis=1), q.max(axis=1)
+    for low in (0.4, 0.6, 0.8, 0.95):
+        mine = (sure >= low) & (sure < low + 0.2)
+        if mine.sum() > 200:
+            assert (top[mine] == truth[mine]).mean() == pytest.approx(sure[mine].mean(), abs=0.06)
+
+
 def test_edges(spark, model):
     assert langs(model, "", "   \n\n", "// " + EN, "1 2 3") == [[], [], [], []]
     assert langs(model, "﻿" + EN * 5, (EN + "\r\n") * 5, EN * 20000) == [["en"]] * 3
@@ -64,6 +132,11 @@ def test_held_out_accuracy(spark):
     rows = language.read(docs, model, ["doc_id"]).collect()
     one = [(known[r.doc_id], r.segments[0].lang) for r in rows if r.doc_id in known and r.n_chars >= 300 and len(r.segments) == 1]
     assert len(one) > 500 and sum(a == b for a, b in one) / len(one) > 0.85
+    # reliability: a tenth of the labels is wrong, so nine tenths of what the confidence promises agrees with them
+    sure = [(r.segments[0].confidence, known[r.doc_id] == r.segments[0].lang) for r in rows if r.doc_id in known and r.n_chars >= 300 and len(r.segments) == 1]
+    assert np.mean([c for c, _ in sure]) * 0.9 == pytest.approx(np.mean([ok for _, ok in sure]), abs=0.05)
+    low, high = [ok for c, ok in sure if c < 0.9], [ok for c, ok in sure if c >= 0.9]
+    assert len(low) < 20 or np.mean(low) < np.mean(high)
 
 
 def test_queries(spark, data):
