@@ -37,8 +37,8 @@ def busiest_cells(df: DataFrame) -> DataFrame:
 
 def speeds(df: DataFrame, entity: str = "icao24") -> DataFrame:
     """Speed in knots between successive positions of an entity; df has one row per entity and second."""
-    cut = sliced(df.select(entity, "second", "latitude", "longitude"), entity, ["second"], F.floor(F.col("second") / 21600), halo=1)
-    w = W.partitionBy(entity, "_slice").orderBy("_rn")
+    cut = sliced(df.select(entity, "second", "latitude", "longitude"), entity, "second", back=1)
+    w = W.partitionBy(entity, "_slice").orderBy("second")
     lag = F.lag(F.struct("latitude", "longitude", "second")).over(w)
     cut = cut.withColumn("_p", lag).where("_own")
     hours = (F.col("second") - F.col("_p.second")) / F.lit(3600.0)

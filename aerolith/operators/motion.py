@@ -30,8 +30,8 @@ def features(df: DataFrame, movement: str = "km_per_s_ma3", label_rule: str = "f
     with a third of all rows is many tasks; deltas cross midnight."""
     if movement not in MOVEMENTS:
         raise ValueError(f"no movement {movement!r}")
-    cut = sliced(df.select(entity, "second", "latitude", "longitude", "date"), entity, ["second"], F.floor(F.col("second") / 21600), halo=4)
-    w = W.partitionBy(entity, "_slice").orderBy("_rn")
+    cut = sliced(df.select(entity, "second", "latitude", "longitude", "date"), entity, "second", back=4)
+    w = W.partitionBy(entity, "_slice").orderBy("second")
     cut = cut.withColumn("_p", F.lag(F.struct("latitude", "longitude", "second")).over(w))
     delta = F.col("second") - F.col("_p.second")
     km = haversine_km("_p.latitude", "_p.longitude", "latitude", "longitude")

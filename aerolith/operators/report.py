@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.risk import line_weight, normalise_risk, risk_colour
-from .slices import sliced
+from .slices import numbered
 
 REQUIRED = ["icao24", "evt_ts", "latitude", "longitude", "risk_probability"]
 
@@ -71,9 +71,9 @@ def kept_in_thinning(row: Column, rows: Column, most: int) -> Column:
 def tracks(df: DataFrame, most: int = 200, least: int = 2, order: list[str] | None = None) -> DataFrame:
     """Points of each flight in order, at most `most` of them; flights with fewer than `least` points are left out."""
     order = order or ["second"]
-    cut = sliced(df.where(F.col("flight_id").isNotNull()), "flight_id", order, F.floor(F.col("second") / 21600), halo=0, length=True)
+    cut = numbered(df.where(F.col("flight_id").isNotNull()), "flight_id", order, F.floor(F.col("second") / 21600))
     cut = cut.where((F.col("_len") >= least) & kept_in_thinning(F.col("_rn"), F.col("_len"), most))
-    return cut.withColumn("point", F.col("_rn").cast("bigint")).drop("_slice", "_rn", "_own", "_len")
+    return cut.withColumn("point", F.col("_rn").cast("bigint")).drop("_rn", "_len")
 
 
 def drawn(df: DataFrame) -> DataFrame:

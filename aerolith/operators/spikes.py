@@ -63,8 +63,10 @@ class ReadingRule:
     rest_speed: float = 5.0
     rest_spread: float = 0.005
     neighbours: int = 5
-    rows_per_slice: int = 20_000
-    halo: int = 1_000
+    slice_s: int = 86_400
+    guests: int = 16  # rows a slice sees on either side at least, and up to `more` within `reach_s`
+    more: int = 1_000
+    reach_s: int = 7_200
     growth: float = dc_field(default=1.04)  # of the sketch's bins
     hour_prior: float = 300.0  # readings that the overall range counts for in the range of an hour
 
@@ -218,9 +220,8 @@ def judged(df: DataFrame, key: str, second: Column, order: str, rule: ReadingRul
         entity_key(key).alias("k"), second.cast("bigint").alias("s"), F.col(order).alias("seq"),
         *[F.col(c).cast("double").alias(c) for c in names],
     ).where(F.col("k").isNotNull() & F.col("s").isNotNull())
-    cut = sliced(rows, "k", ["s", "seq"], F.floor(F.col("s") / 21600), rule.rows_per_slice, rule.halo, same=["s"])
-    cut = cut.select("k", "s", "seq", *names, "_slice", "_rn", "_own")
-    cut = cut.repartition("k", "_slice").sortWithinPartitions("k", "_slice", "_rn")
+    cut = sliced(rows, "k", "s", rule.guests, rule.guests, rule.slice_s, rule.more, rule.reach_s, tie="seq")
+    cut = cut.select("k", "s", "seq", *names, "_slice", "_own").sortWithinPartitions("k", "_slice", "s")
     return materialise(cut.mapInPandas(_judge(rule), SCHEMA))
 
 

@@ -39,7 +39,7 @@ def test_planted_cases(spark):
     want = {(50, "gs", "spike"), (150, "gs", "impossible"), (160, "lat", "impossible")} | {(i, "alt_baro", "spike") for i in (80, 81, 82)}
     want |= {(i, "lat", "stuck") for i in range(120, 135)}
     assert cases(spark, rows) == want
-    assert cases(spark, rows, rows_per_slice=64, halo=40) == want
+    assert cases(spark, rows, slice_s=640, reach_s=400) == want
     copies = rows + [[1000 + r[0], " AB12CD", r[2], 1.0, 1.0, 1.0, 1.0] for r in rows]
     assert cases(spark, copies) == want
 
