@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 def sliced(
     df: DataFrame, key: str, second: str, back: int = 1, ahead: int = 0, width: int = 86_400, more: int = 0, reach_s: int = 0,
-    tie: str | None = None,
+    tie: str | None = None, keep_tie: bool = True,
 ) -> DataFrame:
     """df with _slice and _own (false for guests), partitioned by (key, _slice). Rows without key or second are left
     out.
@@ -30,13 +30,16 @@ def sliced(
 
     df must have one row per key and second, or `tie`: then the first row by `tie` stays, which must be unique but for
     repeated rows. That is a hash aggregate, filled on the map side, so a group of copies of any size is one row a task
-    before anything moves or is sorted."""
+    before anything moves or is sorted. All columns of the result should be used: a column that only one of the two
+    readings needs makes two exchanges of the one."""
     df = df.where(F.col(key).isNotNull() & F.col(second).isNotNull())
     if tie:
         rest = [c for c in df.columns if c not in (key, second, tie)]
         df = df.groupBy(key, second).agg(F.min(tie).alias(tie), *[F.min_by(c, tie).alias(c) for c in rest])
+        df = df if keep_tie else df.drop(tie)
     cols = [c for c in df.columns if c != key]
-    base = df.withColumn("_slice", F.floor(F.col(second) / width))
+    # what the join below would infer for one of its sides only is said for both, or the exchange isn't the same
+    base = df.withColumn("_slice", F.floor(F.col(second) / width)).where(F.col("_slice").isNotNull()).repartition(key, "_slice")
     here = W.partitionBy(key, "_slice").orderBy(second)
     base = base.withColumn("_i", F.row_number().over(here)).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(key, "_slice")))
     row = F.struct(*[F.col(f"`{c}`") for c in cols], F.lit(False).alias("_own"))

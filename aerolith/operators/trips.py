@@ -159,7 +159,7 @@ def segments(pings: DataFrame, rule: StopRule) -> DataFrame:
     begins where the aircraft goes over from resting to moving, rests at another place, was silent, or where an hour is
     over. joined: it goes on from the segment before it without a break; gap: the seconds since the ping before it."""
     most = max(rule.strides) + 4
-    cut = sliced(pings.select("k", "s", "lat", "lon", "tie"), "k", "s", 4, 4, rule.slice_s, most, min(rule.slice_s, rule.silence_s + rule.least_s), tie="tie")
+    cut = sliced(pings.select("k", "s", "lat", "lon", "tie"), "k", "s", 4, 4, rule.slice_s, most, min(rule.slice_s, rule.silence_s + rule.least_s), "tie", keep_tie=False)
     cut = cut.select("k", "_slice", "s", "lat", "lon", "_own").sortWithinPartitions("k", "_slice", "s")
     return cut.mapInPandas(_segments(rule), SEGMENT)
 
