@@ -54,6 +54,18 @@ def local_text(second: Column | str, zone: str = "Asia/Kolkata", form: str = "yy
     return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), form)
 
 
+def local_iso(second: Column | str, zone: str = "Asia/Kolkata") -> Column:
+    """ISO-8601 wall-clock time in a zone with its offset, yyyy-MM-ddTHH:mm:ss+hh:mm."""
+    s = _c(second)
+    utc = utc_date(s).cast("timestamp_ntz") + F.make_dt_interval(secs=F.pmod(s, F.lit(86400)).cast("decimal(18,6)"))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    minutes = F.timestamp_diff("MINUTE", utc, local)
+    away = F.abs(minutes)
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    offset = F.format_string("%s%02d:%02d", sign, F.floor(away / 60), away % 60)
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+
+
 def run_stamp(second: Column | str) -> Column:
     """yyyyMMddTHHmmssZ in UTC."""
     return F.concat(local_text(second, "UTC", "yyyyMMdd"), F.lit("T"), local_text(second, "UTC", "HHmmss"), F.lit("Z"))

@@ -43,6 +43,12 @@ def train(features: DataFrame, key: Column | None = None, label: str = "risk_lab
     return model, auc
 
 
+def auc(df: DataFrame, score: str, label: str) -> float:
+    """The exact area under ROC of a score, ties counted half."""
+    rows = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("l"))
+    return BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="l", metricName="areaUnderROC", numBins=0).evaluate(rows)
+
+
 def save(model: LogisticRegressionModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -1,8 +1,8 @@
 """Far too many small files: indexed archive containers.
 
-Small files are packed, byte for byte, into large blocks; an index keeps path, block, offset, length and checksum of
-every member, so that each can be looked up and checked without reading more than its range, and blocks are read in
-parallel. The index also has a digest of every record, from which it follows which files add nothing: a file all of
+Small files are packed, byte for byte, into large block files; an index keeps path, block, offset, length and checksum
+of every member. `store` writes a block as its members come, in order, so it never holds one; `lookup` reads members by
+their ranges and nothing else, blocks in parallel. The index also has a digest of every record, from which it follows which files add nothing: a file all of
 whose records are in one earlier live file is left out.
 
 Skew: a record that is in very many files costs one row per file and is aggregated on the map side; files with the
@@ -16,6 +16,11 @@ containment; packing keeps them. Empty input, empty output.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,11 +105,11 @@ def row_bytes(rows: DataFrame, file: str, order: str) -> DataFrame:
     )
 
 
-def pack(members: DataFrame, group: str, block_bytes: int = 128 << 20, run: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(index, blocks) of members (file, path, content, group). index: file, path, block, offset, length, checksum
-    (CRC-32); blocks: block, payload. Members of different groups never share a block. Offsets have two levels: running
-    sums over at most `run` ids of a group at a time, and over the sums of these, so blocks fill up to `block_bytes`
-    though no group is ordered as a whole. A member is in the block in which it begins."""
+def offsets(members: DataFrame, group: str, block_bytes: int = 128 << 20, run: int = 4096) -> DataFrame:
+    """The index of members (file, path, content, group): file, path, block, offset, length, checksum (CRC-32). Members
+    of different groups never share a block. Offsets have two levels: running sums over at most `run` ids of a group at
+    a time, and over the sums of these, so blocks fill up to `block_bytes` though no group is ordered as a whole. A
+    member is in the block in which it begins."""
     sized = members.select("file", "path", F.octet_length("content").alias("length"), F.crc32("content").alias("checksum"), F.col(group).cast("string").alias("g"))
     sized = sized.withColumn("run", F.floor(F.col("file") / run)).withColumn("g", F.coalesce(F.concat(F.lit("/"), "g"), F.lit("null")))
     earlier = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
@@ -115,18 +120,79 @@ def pack(members: DataFrame, group: str, block_bytes: int = 128 << 20, run: int
     sized = sized.withColumn("before", F.col("base") + within)
     sized = sized.withColumn("block", F.concat_ws("/", "g", F.floor(F.col("before") / block_bytes).cast("string")))
     start = F.min("before").over(W.partitionBy("block"))
-    index = sized.select("file", "path", "block", (F.col("before") - start).alias("offset"), "length", "checksum")
-    # the bytes themselves move only here; members without any share their offset with the next one, in either order
+    return sized.select("file", "path", "block", (F.col("before") - start).alias("offset"), "length", "checksum")
+
+
+def _opened(folder: str):
+    """(file system, folder inside it) on an executor."""
+    import pyarrow.fs as fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else "file://" + folder.removeprefix("file:"))
+
+
+def block_name(block: str) -> str:
+    return hashlib.md5(block.encode()).hexdigest() + ".block"
+
+
+def store(members: DataFrame, index: DataFrame, folder: str) -> DataFrame:
+    """Writes the blocks as files into a folder that all executors share; (block, members, bytes) of each. A task streams
+    its blocks one after the other and holds one member at a time; a file gets its name when it is whole, so a task that
+    runs again replaces it by the same bytes."""
     at = index.select(F.col("file").alias("_file"), "block", "offset")
-    placed = members.select("file", "content").join(at, F.col("file").eqNullSafe(F.col("_file")))
-    blocks = placed.groupBy("block").agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY `offset`)").alias("payload"))  # linear in the bytes
-    return index, blocks
-
-
-def unpack(index: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(file, path, content, intact): the members read back; intact says if the checksum agrees."""
-    part = lambda m: F.substring(F.col("payload"), m["offset"] + 1, m["length"])
-    members = index.groupBy("block").agg(F.collect_list(F.struct("file", "path", "offset", "length", "checksum")).alias("m"))
-    cut = F.transform("m", lambda m: F.struct(m["file"].alias("file"), m["path"].alias("path"), part(m).alias("content"), m["checksum"].alias("checksum")))
-    got = blocks.join(members, "block").select(F.explode(cut).alias("c")).select("c.*")  # a block is opened once
-    return got.select("file", "path", "content", (F.crc32("content") == F.col("checksum")).alias("intact"))
+    placed = members.select("file", "content").join(at, F.col("file").eqNullSafe(F.col("_file"))).select("block", "offset", F.octet_length("content").alias("n"), "content")
+    placed = placed.repartition("block").sortWithinPartitions("block", "offset", "n")  # empty members before what shares their offset
+
+    def run(batches):
+        system, base = _opened(folder)
+        system.create_dir(base, recursive=True)
+        name, out, done = None, None, []
+
+        def close():
+            if out is not None:
+                out.close()
+                system.move(f"{base}/{tmp}", f"{base}/{block_name(name)}")
+
+        for batch in batches:
+            for block, offset, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
+                if block != name:
+                    close()
+                    name, tmp = block, f"_{uuid.uuid4().hex}"
+                    out = system.open_output_stream(f"{base}/{tmp}")
+                    done.append([block, 0, 0])
+                if offset != done[-1][2]:
+                    raise ValueError(f"block {block}: a member at {offset}, the file is at {done[-1][2]}")
+                data = content.as_buffer()
+                out.write(data)
+                done[-1][1], done[-1][2] = done[-1][1] + 1, done[-1][2] + data.size
+        close()
+        if done:
+            b, n, size = zip(*done)
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(n, pa.int64()), pa.array(size, pa.int64())], names=["block", "members", "bytes"])
+
+    return materialise(placed.mapInArrow(run, "block string, members bigint, bytes bigint"))
+
+
+def lookup(wanted: DataFrame, folder: str) -> DataFrame:
+    """(file, path, content, intact) of rows of the index: each member read by its range. A block's members are read by
+    one task in order, big blocks in pieces of about 16 MB."""
+    spread = wanted.withColumn("_piece", F.floor(F.col("offset") / (16 << 20)))
+    rows = spread.repartition("block", "_piece").sortWithinPartitions("block", "offset").select("file", "path", "block", "offset", "length", "checksum")
+    kind = dict(wanted.dtypes)["file"]
+
+    def run(batches):
+        system, base = _opened(folder)
+        name, source = None, None
+        for batch in batches:
+            got = []
+            for block, offset, length in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                if block != name:
+                    if source is not None:
+                        source.close()
+                    name, source = block, system.open_input_file(f"{base}/{block_name(block)}")
+                got.append(source.read_at(length, offset))
+            intact = [zlib.crc32(g) == c for g, c in zip(got, batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary()), pa.array(intact)], names=["file", "path", "content", "intact"])
+        if source is not None:
+            source.close()
+
+    return rows.mapInArrow(run, f"file {kind}, path string, content binary, intact boolean")

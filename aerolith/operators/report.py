@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.instants import local_iso
 from ..functions.risk import line_weight, normalise_risk, risk_colour
 from .slices import numbered
 
@@ -54,8 +56,33 @@ def top_flights(stats: DataFrame, n: int = 15) -> DataFrame:
     return stats.orderBy(F.desc("avg_risk"), F.desc("points"), "flight_id").limit(n)
 
 
+def median_exact(df: DataFrame, column: str, bins: int = 4096) -> Column:
+    """The median, between ranks, as a scalar: rows are counted in `bins` equal parts of the range, and only the values
+    in the parts of the two middle ranks are counted one by one, so no task holds all distinct values unless they lie
+    in one part of 4,096."""
+    x = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).cast("double").alias("x"))
+    r = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not r["n"]:
+        return F.lit(None).cast("double")
+    wide = (r["hi"] - r["lo"]) / bins or 1.0
+    part = F.least(F.lit(bins - 1), F.floor((F.col("x") - r["lo"]) / wide)).cast("int")
+    x, counts = x.withColumn("b", part), {}
+    for b, n in x.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `bins` rows
+        counts[b] = n
+    ranks, upto, before = ((r["n"] - 1) // 2, r["n"] // 2), 0, {}
+    for b in sorted(counts):
+        for k in ranks:
+            if upto <= k < upto + counts[b]:
+                before[k] = (b, upto)
+        upto += counts[b]
+    values = x.where(F.col("b").isin([b for b, _ in before.values()])).groupBy("b", "x").agg(F.count(F.lit(1)).alias("n"))
+    values = values.withColumn("upto", F.sum("n").over(W.partitionBy("b").orderBy("x")))
+    at = [F.min(F.when((F.col("b") == b) & (F.col("upto") > k - first), F.col("x"))) for k, (b, first) in ((k, before[k]) for k in ranks)]
+    return values.agg(((at[0] + at[1]) / 2).alias("m")).scalar()
+
+
 def centre(df: DataFrame) -> DataFrame:
-    return df.agg(F.median("lat").alias("lat"), F.median("lon").alias("lon"))
+    return df.sparkSession.range(1).select(median_exact(df, "lat").alias("lat"), median_exact(df, "lon").alias("lon"))
 
 
 def kept_in_thinning(row: Column, rows: Column, most: int) -> Column:
@@ -81,6 +108,11 @@ def drawn(df: DataFrame) -> DataFrame:
     return df.withColumns({"colour": risk_colour(F.col("avg_risk")), "weight": line_weight(F.col("avg_risk"))})
 
 
+def exported(df: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
+    """A track or flight list as it leaves for a file: epoch columns as local ISO-8601 times with offset."""
+    return df.select(*[local_iso(c, zone).alias(c.removesuffix("_s")) if c in ("second", "first_s", "last_s") else F.col(c) for c in df.columns])
+
+
 def ends(df: DataFrame) -> DataFrame:
     """First and last point of each flight."""
     p = F.struct("second", "lat", "lon")

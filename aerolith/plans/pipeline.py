@@ -105,7 +105,9 @@ def _validate(spark: SparkSession, w: dict) -> None:
     for name, bad in quality.quarantine(rows, w["run_id"], keys, cols).items():
         if not bad.isEmpty():
             bad.write.mode("overwrite").parquet(f"{w['quarantine']}/{name}/run_id={w['run_id']}")
-    files.parquet(spark.createDataFrame([row]).withColumn("run_id", F.lit(w["run_id"])), w["metrics"], mode="append")
+    # under the run, so a stage that is tried again replaces what it wrote
+    files.parquet(spark.createDataFrame([row]).withColumn("run_id", F.lit(w["run_id"])), w["metrics"], ["run_id"])
+    files.latest_json({"run_id": w["run_id"], **row}, f"{w['metrics']}_latest.json", spark)
     if not row["silver_rows"]:
         raise quality.QualityError("no row passed")
     quality.require_columns(spark.read.parquet(w["silver"]), SILVER)

@@ -11,7 +11,7 @@ from ..functions.identity import entity_key
 from ..operators.regions import Grid, near_pairs, points_in_regions
 from ..operators.spikes import implausible, judged, scatter
 from ..operators.trips import StopRule, clean_pings, stops_and_trips
-from ..session import materialise
+from ..session import materialise, shared
 from .tables import table
 
 #: DuckDB text of the key of an aircraft.
@@ -101,17 +101,33 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_archive(spark: SparkSession, d: str) -> DataFrame:
-    """The small files packed into blocks by directory: the index, each member read back out of its block."""
+    """The small files packed into block files by directory: the index, each member read back by its range."""
     rows = table(spark, d, "bronze_positions")
     merge = p6_plan(spark, d).where("action = 'merge'").select(F.col("file_id").alias("file"), "path")
     content = archive.row_bytes(rows, "file_id", "pos_id").join(merge, "file")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     content = materialise(content.withColumn("folder", folder))  # the index and the blocks both read it
-    index, blocks = archive.pack(content, "folder")
-    back = archive.unpack(index, blocks).select("file", "intact")
+    index, at = materialise(archive.offsets(content, "folder")), shared(spark, "blocks")
+    archive.store(content, index, at)
+    back = archive.lookup(index, at).select("file", "intact")
     return index.join(back, "file").withColumnRenamed("file", "file_id")
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The raw files, whose bytes are their payloads one to a line, packed by lane into blocks of 64 KiB; what comes back
+    by its range, and the digest of it."""
+    rec = table(spark, d, "raw_records").groupBy(F.col("raw_file_id").alias("file"), F.col("lane"), F.col("file_name").alias("path"))
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("payload").isNotNull(), F.struct("rec_id", "payload")))), lambda x: x["payload"])
+    files = materialise(rec.agg(F.encode(F.array_join(lines, "\n"), "UTF-8").alias("content")))
+    index, at = materialise(archive.offsets(files, "lane", 64 << 10, 64)), shared(spark, "blocks")
+    archive.store(files, index, at)
+    back = archive.lookup(index, at)
+    number = F.regexp_extract("block", "/(\\d+)$", 1).cast("bigint")
+    return index.join(back.select("file", "content", "intact"), "file").select(
+        F.col("file").alias("raw_file_id"), number.alias("block"), "offset", "length", F.md5("content").alias("digest"), "intact"
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_stops_and_trips": p1_stops_and_trips,
@@ -127,6 +143,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_plan": p6_plan,
     "p6_archive": p6_archive,
+    "p6_containers": p6_containers,
 }
 
 _P2 = f"""
@@ -222,6 +239,12 @@ ORACLES = {
             CASE WHEN p IS NULL THEN CASE WHEN payload IS NULL THEN 0 END ELSE CAST(other - CAST(squawk IS NOT NULL AS INTEGER)
                 + CASE WHEN la IS NOT NULL AND latitude IS NULL THEN 1 ELSE 0 END + CASE WHEN lo IS NOT NULL AND longitude IS NULL THEN 1 ELSE 0 END
                 + CASE WHEN ts IS NOT NULL AND "timestamp" IS NULL THEN 1 ELSE 0 END AS INTEGER) END AS rescued FROM u""",
+    "p6_containers": """
+        WITH f AS (SELECT raw_file_id, lane, coalesce(string_agg(payload, chr(10) ORDER BY rec_id), '') AS content FROM raw_records GROUP BY raw_file_id, lane, file_name),
+        n AS (SELECT *, strlen(content) AS length FROM f),
+        b AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY lane ORDER BY raw_file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM n)
+        SELECT raw_file_id, before // 65536 AS block, before - min(before) OVER (PARTITION BY lane, before // 65536) AS "offset", CAST(length AS INTEGER) AS length,
+            md5(content) AS digest, true AS intact FROM b""",
     "p6_found": """
         WITH live AS (
             SELECT file_id, n_bytes FROM bronze_files

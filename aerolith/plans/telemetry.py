@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +12,11 @@ from ..ml import risk_model
 from ..operators import aggregates, motion, quality, report
 from ..operators.clean import clean, in_bounds, one_per_key, union_drifted
 from ..operators.exactly_once import instant_seconds
-from ..session import checkpoint_dir, materialise
-from ..sources import wire
+from ..session import materialise, shared
+from ..sinks import files
+from ..sources import parquet, wire
 from ..streaming import flows
+from . import pipeline
 from .records import KEY_SQL
 from .tables import table
 
@@ -284,7 +284,7 @@ def _stream(spark, d, name):
 
 
 def _place(spark, name):
-    return f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    return shared(spark, name)
 
 
 def stream_dedupe(spark, d):
@@ -307,7 +307,162 @@ def stream_score(spark, d):
     return out.select("icao24", "evt_ts", "delta_t", r6("movement_score"), r6("risk_probability"), "predicted_risk")
 
 
+def stream_late(spark, d):
+    """Batches of a stream in order of time, then one with rows a day late: they are behind the watermark and go."""
+    t, at = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), _place(spark, "late")
+    day = F.dayofmonth("ts")
+    late = t.where(day <= 2).withColumn("user_id", F.col("user_id") + 1_000_000)
+    for part in (t.where(day <= 10), t.where(day.between(11, 20)), t.where(day.between(21, 25)), t.where(day.between(26, 28)), late.unionByName(t.where(day > 28)), t.where(day <= 1)):
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    s = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    rows = flows.deduplicated(s, ["user_id", "ts"], "ts").select("user_id", F.unix_micros("ts").alias("us"))
+    flows.to_parquet(rows, f"{at}/out", f"{at}/checkpoint", every=None).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+def stream_two_sinks(spark, d):
+    """What the second sink of the scorer got: the same rows as JSON messages."""
+    s = _stream(spark, d, "aircraft_positions").select(
+        entity_key("icao24").alias("icao24"), instant_seconds("timestamp").alias("evt_ts"), F.col("lat").alias("latitude"),
+        F.col("lon").alias("longitude"), F.col("log_seq").alias("tie"),
+    )
+    at = _place(spark, "two")
+    flows.score_stream(in_bounds(s), f"{at}/out", f"{at}/checkpoint", lambda m: m.write.mode("append").parquet(f"{at}/topic"), every=None).start().awaitTermination()
+    got = spark.read.parquet(f"{at}/topic").select(F.from_json("value", "icao24 string, evt_ts bigint, predicted_risk int").alias("m")).select("m.*")
+    return got.groupBy("icao24").agg(F.count(F.lit(1)).alias("messages"), F.sum("evt_ts").alias("seconds"), F.sum("predicted_risk").alias("risky"))
+
+
+# --- the chain: topic, bronze stream, files, daily run
+
+
+def _chain(spark, d, stages):
+    """Messages of the topic as JSON through the bronze stream into files, which the stages of the daily run read."""
+    at = _place(spark, "chain")
+    fields = ["icao24", "lat", "lon", "flight", "reg", instant_seconds("timestamp").alias("timestamp")]
+    s = _stream(spark, d, "aircraft_positions").select(F.to_json(F.struct(*fields)).alias("value"), F.col("kafka_ts").alias("timestamp"))
+    flows.to_parquet(wire.bronze(s), f"{at}/bronze", f"{at}/checkpoint", ["date"], every=None).start().awaitTermination()
+    where = pipeline.folders(at, f"{at}/bronze", "20240101T000000Z")
+    pipeline.run(spark, [x for x in pipeline.DAILY if x.name in stages], where, wait_s=0)
+    return where
+
+
+def chain_silver(spark, d):
+    return spark.read.parquet(_chain(spark, d, ["clean"])["silver"]).drop("pos_id")
+
+
+def chain_accounts(spark, d):
+    """What became of every row: kept, copies and rejected are all of them; and what lies in quarantine."""
+    w = _chain(spark, d, ["clean", "validate"])
+    m = spark.read.parquet(w["metrics"])
+    names = ["total_rows", "null_count", "range_count", "silver_rows", "copies", "rejected_rows", "files_skipped"]
+    rows = m.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("bigint").alias("rows")) for n in names])).alias("x")).select("x.*")
+    for rule in ("nulls", "range", "duplicates"):
+        part = spark.read.parquet(f"{w['quarantine']}/{rule}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(f"quarantine_{rule}").alias("name"), "rows")
+        rows = rows.unionByName(part)
+    latest = spark.read.option("multiLine", True).json(f"{w['metrics']}_latest.json").select(F.lit("latest_total").alias("name"), F.col("total_rows").alias("rows"))
+    return rows.unionByName(latest)
+
+
+def _daily(spark, d, stages):
+    w = pipeline.folders(_place(spark, "daily"), f"{d}/bronze_positions.parquet", "20240101T000000Z")
+    pipeline.run(spark, [x for x in pipeline.DAILY if x.name in stages], w, wait_s=0)
+    return w
+
+
+def daily_gold(spark, d):
+    """The gold Parquet by day, and one of the CSV previews beside it, read back."""
+    w = _daily(spark, d, ["clean", "gold"])
+    top = spark.read.option("header", True).schema("icao24 string, sightings bigint").csv(f"{w['gold']}/sql/top_aircraft_csv")
+    return spark.read.parquet(f"{w['gold']}/rows_per_day").select(F.col("date").cast("string").alias("what"), F.col("total_flights").alias("n")).unionByName(
+        top.select(F.col("icao24").alias("what"), F.col("sightings").alias("n"))
+    )
+
+
+def daily_scores(spark, d):
+    """Batch scores of the saved and loaded model against the same weights as an expression: rows, and rows that agree."""
+    w = _daily(spark, d, ["clean", "features", "train", "score"])
+    scores, model = spark.read.parquet(w["scores"]), risk_model.load(w["model"])
+    native = risk_model.score_native(spark.read.parquet(w["features"]), *risk_model.weights_of(model))
+    keys = ["icao24", "second"]
+    both = scores.select(*keys, F.col("risk_probability").alias("p"), F.col("predicted_risk").alias("r")).join(native, keys)
+    same = (F.abs(F.col("p") - F.col("risk_probability")) < 1e-9) & ((F.col("r") == F.col("predicted_risk")) | (F.abs(F.col("p") - 0.5) < 1e-9))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(same).alias("agree"))
+
+
+def auc(spark, d):
+    f = motion.features(silver(spark, d), "l1_degrees")
+    return spark.createDataFrame([(round(risk_model.auc(f, "delta_t", "risk_label"), 9),)], "auc double")
+
+
+# --- files
+
+
+def _drifted(spark, d):
+    """The bronze positions as four groups of files of different schemas, and one that can't be read."""
+    at, t = _place(spark, "drifted"), table(spark, d, "bronze_positions")
+    part = lambda i: t.where(F.pmod("pos_id", F.lit(4)) == i)
+    part(0).write.parquet(f"{at}/a")
+    part(1).withColumnsRenamed({"latitude": "lat", "longitude": "lon"}).write.parquet(f"{at}/b")
+    part(2).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).drop("flight").write.parquet(f"{at}/c")
+    part(3).withColumn("timestamp", F.unix_seconds("timestamp")).drop("reg").write.parquet(f"{at}/d")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/e/broken.parquet")
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(b"PAR1 no"))
+    out.close()
+    return at
+
+
+def source_by_schema(spark, d):
+    got = parquet.by_schema(spark, _drifted(spark, d), {"pos_id": "bigint"})
+    return got.frame.select("pos_id", "icao24", "latitude", "longitude", "flight", "reg", "second", F.lit(len(got.skipped)).alias("skipped"))
+
+
+def source_with_columns(spark, d):
+    """Only the files that have both columns; the others and the unreadable one are skipped."""
+    at = _drifted(spark, d)
+    got = parquet.with_columns(spark, at, ["pos_id", "latitude", "flight"])
+    folders = {p.rsplit("/", 2)[-2] for p in parquet.listed(spark, at)}
+    return got.frame.withColumns({"skipped": F.lit(len({p.rsplit("/", 2)[-2] for p in got.skipped})), "folders": F.lit(len(folders))})
+
+
+def source_bulk(spark, d):
+    """One scan over files of two schemas that fit each other."""
+    at, t = _place(spark, "bulk"), table(spark, d, "bronze_positions").select("pos_id", "icao24", "latitude", "reg")
+    t.where("pos_id % 2 = 0").drop("reg").write.parquet(f"{at}/part=0")
+    t.where("pos_id % 2 = 1").drop("latitude").write.parquet(f"{at}/part=1")
+    return parquet.bulk(spark, at).select("pos_id", "icao24", "latitude", "reg", F.col("part").cast("int").alias("part"))
+
+
+def sink_flights_csv(spark, d):
+    """The flight list as a CSV file, read back."""
+    at = _place(spark, "flights")
+    files.one_csv(report.exported(report.flight_stats(_prepared(spark, d)).select("flight_id", "points", "first_s", "last_s")), at)
+    return spark.read.option("header", True).schema("flight_id string, points bigint, first string, last string").csv(at)
+
+
+def sink_track_csv(spark, d):
+    """One track as a CSV file, read back."""
+    at = _place(spark, "track")
+    files.one_csv(report.exported(report.selected(_prepared(spark, d), ["561230"]).select("second", "lat", "lon")), at)
+    return spark.read.option("header", True).schema("second string, lat double, lon double").csv(at)
+
+
+def _gold(name, *columns):
+    def q(spark, d):
+        silver(spark, d).createOrReplaceTempView("aircraft_cleaned")
+        out = aggregates.gold_sql(spark)[name]
+        return out.selectExpr(*columns) if columns else out
+
+    return q
+
+
 QUERIES = {
+    "stream_late": stream_late, "stream_two_sinks": stream_two_sinks, "chain_silver": chain_silver, "chain_accounts": chain_accounts,
+    "daily_gold": daily_gold, "daily_scores": daily_scores, "auc": auc, "source_by_schema": source_by_schema,
+    "source_with_columns": source_with_columns, "source_bulk": source_bulk, "sink_flights_csv": sink_flights_csv, "sink_track_csv": sink_track_csv,
+    "gold_sql_days": _gold("flights_per_day"), "gold_sql_unique": _gold("unique_aircraft_per_day"), "gold_sql_top": _gold("top_aircraft"),
+    "gold_sql_cells": _gold("busiest_cells"),
+    "gold_sql_speeds": _gold("speed_stats", "icao24", "intervals", "round(avg_speed_kts, 4) AS avg_speed_kts", "round(median_speed_kts, 4) AS median_speed_kts"),
     "identity_rules": identity_rules, "event_times": event_times, "event_times_from_text": event_times_from_text,
     "silver_clean": silver_clean, "silver_clean_injected_now": silver_clean_injected_now, "dedupe_first": dedupe_first,
     "union_by_name_drift": union_by_name_drift,
@@ -386,7 +541,56 @@ def _pick(*names):
     return "coalesce(" + ", ".join(f"nullif(p->>'$.{n}', '')" for n in names) + ")"
 
 
+_BRONZE = f"""bronze AS (SELECT coalesce(lower(nullif(icao24, '')), lower(nullif(flight, '')), lower(nullif(reg, '')), 'unknown') AS icao24, lat AS latitude,
+            lon AS longitude, flight, reg, coalesce({_MS}, CAST(floor(epoch_us(kafka_ts) / 1000000.0) AS BIGINT)) AS second FROM aircraft_positions),
+        norm AS (SELECT {_CANON} AS icao24, latitude, longitude, flight, reg, second,
+            coalesce({_BOUNDS}, false) AND second IS NOT NULL AS good FROM bronze)"""
+_SCORED = f"""src AS (SELECT {KEY_SQL} AS icao24, {_MS} AS second, lat AS latitude, lon AS longitude, log_seq FROM aircraft_positions
+            WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND "timestamp" IS NOT NULL),
+        one AS (SELECT * FROM src WHERE icao24 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY icao24, second ORDER BY log_seq) = 1), {_motion_sql('one')}"""
+_ISO = "strftime(make_timestamp(({c} + 19800) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+05:30'"
+
+
 ORACLES = {
+    "stream_late": "SELECT user_id, epoch_us(ts) AS us FROM events",
+    "stream_two_sinks": f"""WITH {_SCORED} SELECT icao24, count(*) AS messages, CAST(sum(second) AS BIGINT) AS seconds, CAST(sum(CAST(ma3 > 0.7 AS INTEGER)) AS BIGINT) AS risky
+        FROM smooth WHERE delta_t IS NOT NULL GROUP BY icao24""",
+    "chain_silver": f"""WITH {_BRONZE} SELECT icao24, latitude, longitude, flight, reg, second, {_DAY} AS date FROM norm WHERE good QUALIFY row_number() OVER
+        (PARTITION BY icao24, second ORDER BY latitude, longitude, flight NULLS FIRST, reg NULLS FIRST) = 1""",
+    "chain_accounts": f"""WITH {_BRONZE}, g AS (SELECT icao24, second, good, count(*) AS n FROM norm GROUP BY ALL),
+        nulls AS (SELECT count(*) AS n FROM norm WHERE latitude IS NULL OR longitude IS NULL OR second IS NULL), ranges AS (SELECT count(*) AS n FROM norm WHERE {_RANGE}),
+        dupes AS (SELECT count(*) AS n FROM (SELECT 1 FROM norm QUALIFY count(*) OVER (PARTITION BY icao24, second) > 1))
+        SELECT 'total_rows' AS name, count(*) AS rows FROM norm UNION ALL SELECT 'latest_total', count(*) FROM norm
+        UNION ALL SELECT 'null_count', n FROM nulls UNION ALL SELECT 'quarantine_nulls', n FROM nulls
+        UNION ALL SELECT 'range_count', n FROM ranges UNION ALL SELECT 'quarantine_range', n FROM ranges
+        UNION ALL SELECT 'quarantine_duplicates', n FROM dupes UNION ALL SELECT 'files_skipped', 0
+        UNION ALL SELECT 'silver_rows', count(*) FILTER (good) FROM g UNION ALL SELECT 'copies', CAST(coalesce(sum(n - 1) FILTER (good), 0) AS BIGINT) FROM g
+        UNION ALL SELECT 'rejected_rows', CAST(coalesce(sum(n) FILTER (NOT good), 0) AS BIGINT) FROM g""",
+    "daily_gold": f"""WITH {_silver_sql()} SELECT CAST(date AS VARCHAR) AS what, count(*) AS n FROM silver GROUP BY date
+        UNION ALL (SELECT icao24, count(*) AS n FROM silver GROUP BY icao24 ORDER BY n DESC, icao24 LIMIT 100)""",
+    "daily_scores": f"WITH {_silver_sql()}, {_motion_sql()} SELECT count(*) AS rows, count(*) AS agree FROM smooth WHERE delta_t IS NOT NULL",
+    "auc": f"""WITH {_silver_sql()}, {_motion_sql()}, f AS (SELECT delta_t, CAST(l1 >= 0.7 AS INTEGER) AS y FROM smooth WHERE delta_t IS NOT NULL),
+        r AS (SELECT y, rank() OVER (ORDER BY delta_t) + (count(*) OVER (PARTITION BY delta_t) - 1) / 2.0 AS r FROM f)
+        SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 9) AS auc FROM r""",
+    "source_by_schema": f"""SELECT pos_id, icao24, latitude, longitude, CASE WHEN pos_id % 4 <> 2 THEN flight END AS flight, CASE WHEN pos_id % 4 <> 3 THEN reg END AS reg,
+        {_SEC} AS second, 1 AS skipped FROM bronze_positions""",
+    "source_with_columns": "SELECT pos_id, latitude, flight, 3 AS skipped, 5 AS folders FROM bronze_positions WHERE pos_id % 4 IN (0, 3)",
+    "source_bulk": """SELECT pos_id, icao24, CASE WHEN pos_id % 2 = 0 THEN latitude END AS latitude, CASE WHEN pos_id % 2 = 1 THEN reg END AS reg,
+        CAST(pos_id % 2 AS INTEGER) AS part FROM bronze_positions""",
+    "sink_flights_csv": f"""WITH {_PREPARED}, {_STATS} SELECT flight_id, points, {_ISO.format(c='first_s')} AS first, {_ISO.format(c='last_s')} AS last FROM stats""",
+    "sink_track_csv": f"WITH {_PREPARED} SELECT {_ISO.format(c='second')} AS second, lat, lon FROM prep WHERE flight_id = '561230'",
+    "gold_sql_days": f"WITH {_silver_sql()} SELECT date, count(*) AS total_flights FROM silver GROUP BY date",
+    "gold_sql_unique": f"WITH {_silver_sql()} SELECT date, count(DISTINCT icao24) AS unique_aircraft FROM silver GROUP BY date",
+    "gold_sql_top": f"WITH {_silver_sql()} SELECT icao24, count(*) AS sightings FROM silver GROUP BY icao24 ORDER BY sightings DESC, icao24 LIMIT 100",
+    "gold_sql_cells": f"""WITH {_silver_sql()} SELECT floor(latitude * 10) / 10 AS lat_cell, floor(longitude * 10) / 10 AS lon_cell, count(*) AS records
+        FROM silver GROUP BY ALL""",
+    "gold_sql_speeds": f"""WITH {_silver_sql()}, {_motion_sql()}, k AS (SELECT icao24, {_km('a', 'o', 'latitude', 'longitude')} / 1.852 / (delta_t / 3600.0) AS kts FROM smooth WHERE delta_t > 0)
+        SELECT icao24, count(*) AS intervals, round(avg(kts), 4) AS avg_speed_kts, round(quantile_disc(kts, 0.5), 4) AS median_speed_kts FROM k GROUP BY icao24""",
+    "wire_bronze": r"""WITH r AS (SELECT CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload END AS p, landed_at FROM raw_records),
+        b AS (SELECT coalesce(lower(nullif(p->>'$.icao24', '')), lower(nullif(p->>'$.flight', '')), lower(nullif(p->>'$.reg', '')), 'unknown') AS icao24,
+            coalesce(CASE WHEN regexp_full_match(p->>'$.timestamp', '-?\d+') AND json_type(p, '$.timestamp') IN ('UBIGINT', 'BIGINT') THEN CAST(p->>'$.timestamp' AS BIGINT) END,
+                CAST(floor(epoch_us(landed_at) / 1000000.0) AS BIGINT)) AS second FROM r)
+        SELECT icao24, (DATE '1970-01-01' + CAST(floor(second / 86400.0) AS INTEGER)) AS date, count(*) AS rows FROM b GROUP BY ALL""",
     "identity_rules": f"""SELECT pos_id, {_CANON} AS canonical,
         coalesce(lower(nullif(icao24, '')), lower(nullif(flight, '')), lower(nullif(reg, '')), 'unknown') AS bronze,
         {_SILVER_RULE} AS silver, lower(coalesce(trim(icao24), '')) AS stream, {KEY_SQL} AS producer FROM bronze_positions""",

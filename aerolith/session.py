@@ -48,10 +48,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder of this session below the shared checkpoint folder; it goes when the session's program ends."""
+    top = f"{checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if top not in _MADE:
+        _MADE.add(top)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+        def remove():  # registered after Spark's own, so it runs before the session ends
+            try:
+                fs.delete(at, True)
+            except Exception:  # the session is gone already: whoever owns the folder clears it
+                pass
+
+        atexit.register(remove)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+_MADE: set[str] = set()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table written to the shared checkpoint folder: compressed, read by columns, and there
     whatever executors are lost. A task that is run again replaces its own file only (the output committer's rule)."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = shared(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -24,12 +24,12 @@ def bulk(spark: SparkSession, folder: str, merge: bool = True) -> DataFrame:
 
 def listed(spark: SparkSession, folder: str) -> list[str]:
     """All Parquet files below a folder, as Spark's own index sees them: hidden and temporary ones don't count.
-    A folder that isn't there has none."""
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path")
-        return sorted(r[0] for r in files.collect())
-    except (PySparkException, Py4JJavaError):
+    A folder that isn't there has none; any other failure is one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return []
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path")
+    return sorted(r[0] for r in files.collect())
 
 
 def _footers(batches):
@@ -103,7 +103,7 @@ def typed(df: DataFrame, also: dict[str, str] | None = None) -> DataFrame:
         else:
             second = event_second("silver", F.col("timestamp").cast("string"))
     else:
-        second = F.lit(None)
+        second = F.col("second") if "second" in kinds else F.lit(None)
     out = df.select(*cols, second.cast("bigint").alias("second"))
     return out.withColumn("date", utc_date("second"))
 

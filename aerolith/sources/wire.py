@@ -18,12 +18,13 @@ def parsed(raw: DataFrame, schema: str = BRONZE_SCHEMA, value: str = "value", in
 
 
 def bronze(raw: DataFrame, now: Column | None = None, rule: str = "bronze") -> DataFrame:
-    """(icao24, latitude, longitude, flight, reg, second, date) of messages (value, timestamp)."""
+    """(icao24, latitude, longitude, flight, reg, timestamp, date) of messages (value, timestamp): the schema of the
+    bronze files, as the daily run reads them."""
     d = parsed(raw).select("data.*", "ingest_ts")
     second = event_second("bronze", "timestamp", "ingest_ts", now)
     return d.select(
-        identity(rule).alias("icao24"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "flight", "reg", second.alias("second")
-    ).withColumn("date", utc_date("second"))
+        identity(rule).alias("icao24"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "flight", "reg", F.timestamp_seconds(second).alias("timestamp"), utc_date(second).alias("date"),
+    )
 
 
 def dead_letters(raw: DataFrame, value: str = "value") -> DataFrame:

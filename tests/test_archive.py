@@ -38,31 +38,43 @@ def test_against_sets(spark):
     assert planned(spark, [], []) == {} and planned(spark, [], files) == {}
 
 
-def test_packing_is_an_exact_round_trip(spark):
+def stored(members, tmp, group, *a, **kw):
+    index = archive.materialise(archive.offsets(members, group, *a, **kw))
+    return index, archive.store(members, index, f"{tmp}/blocks")
+
+
+def test_packing_is_an_exact_round_trip(spark, tmp_path):
     rnd = random.Random(1)
     members = [(i, f"p/{i}", bytes(rnd.randrange(256) for _ in range(rnd.choice([0, 1, 7, 400]))), rnd.choice(["g", "h", None])) for i in range(120)]
     df = spark.createDataFrame(members, "file bigint, path string, content binary, g string")
-    index, blocks = archive.pack(df, "g", block_bytes=1000, run=50)
+    index, blocks = stored(df, tmp_path, "g", block_bytes=1000, run=50)
     assert blocks.count() < 60
-    back = {r.file: r for r in archive.unpack(index, blocks).collect()}
+    again = archive.store(df, index, f"{tmp_path}/blocks")  # a task that runs again
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, blocks.collect())) and len(list((tmp_path / "blocks").iterdir())) == blocks.count()
+    back = {r.file: r for r in archive.lookup(index, f"{tmp_path}/blocks").collect()}
     assert len(back) == 120 and all(bytes(back[i].content) == c and back[i].intact and back[i].path == p for i, p, c, _ in members)
-    assert archive.unpack(*archive.pack(df.limit(0), "g")).count() == 0
+    few = archive.lookup(index.where("file IN (3, 77)"), f"{tmp_path}/blocks").collect()
+    assert {r.file: bytes(r.content) for r in few} == {i: members[i][2] for i in (3, 77)}
+    assert archive.lookup(stored(df.limit(0), tmp_path / "none", "g")[0], f"{tmp_path}/none/blocks").count() == 0
+    broken = next(p for p in (tmp_path / "blocks").iterdir() if p.stat().st_size > 500)
+    broken.write_bytes(b"x" + broken.read_bytes()[1:])
+    assert archive.lookup(index, f"{tmp_path}/blocks").where("NOT intact").count() == 1
 
 
-def test_blocks_fill_up_over_windows_of_ids(spark):
+def test_blocks_fill_up_over_windows_of_ids(spark, tmp_path):
     members = [(i, f"p/{i}", bytes([i % 251]) * 10, ["g", "null", None][i % 3]) for i in range(0, 3000)]
     df = spark.createDataFrame(members, "file bigint, path string, content binary, g string")
-    index, blocks = archive.pack(df, "g", block_bytes=2500, run=50)  # 10,000 bytes a group, 170 in a window
-    sizes = {r.block: len(r.payload) for r in blocks.collect()}
+    index, blocks = stored(df, tmp_path, "g", block_bytes=2500, run=50)  # 10,000 bytes a group, 170 in a window
+    sizes = {r.block: r.bytes for r in blocks.collect()}
     assert len(sizes) == 12 and set(sizes.values()) == {2500}
-    back = {r.file: r for r in archive.unpack(index, blocks).collect()}
+    back = {r.file: r for r in archive.lookup(index, f"{tmp_path}/blocks").collect()}
     assert len(back) == 3000 and all(bytes(back[i].content) == c and back[i].intact for i, _, c, _ in members)
 
 
-def test_rows_survive_packing(spark, data):
+def test_rows_survive_packing(spark, data, tmp_path):
     rows = spark.read.parquet(f"{data}/bronze_positions.parquet")
     content = archive.row_bytes(rows, "file_id", "pos_id").selectExpr("file", "'p' AS path", "content", "'g' AS g")
-    back = archive.unpack(*archive.pack(content, "g", 5000)).selectExpr("explode(split(decode(content, 'UTF-8'), '\n')) AS j")
+    back = archive.lookup(stored(content, tmp_path, "g", 5000)[0], f"{tmp_path}/blocks").selectExpr("explode(split(decode(content, 'UTF-8'), '\n')) AS j")
     want = rows.withColumn("timestamp", archive.F.unix_micros("timestamp"))
     got = back.select(archive.F.from_json("j", want.schema).alias("r")).select("r.*")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

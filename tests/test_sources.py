@@ -34,7 +34,7 @@ def test_wire(spark):
     got = {r.icao24: r for r in wire.normalised(df, now=now).collect()}
     assert set(got) == {"ab", "cd", "ef"} and got["ab"].alt_baro == 500 and got["ab"].flight == "X" and got["cd"].flight is None and got["cd"].alt_baro is None
     raw = spark.createDataFrame([('{"icao24":"A","lat":"x","lon":1,"timestamp":5}', 9), ("not json", 9), (None, 9)], "value string, t bigint").select("value", F.timestamp_seconds("t").alias("timestamp"))
-    b = [tuple(r) for r in wire.bronze(raw).select("icao24", "latitude", "longitude", "second").collect()]
+    b = [tuple(r) for r in wire.bronze(raw).select("icao24", "latitude", "longitude", F.unix_seconds("timestamp")).collect()]
     assert b == [("a", None, 1.0, 5), ("unknown", None, None, 9), ("unknown", None, None, 9)]
     assert wire.dead_letters(raw).count() == 2
 
