@@ -2,9 +2,9 @@
 
 Records are JSON objects. The target schema is enforced: a field goes to the typed column its content belongs to,
 whatever name the file gave it; unknown fields and values that can't be cast are kept as JSON in a rescue column, and
-`replay` moves approved ones into typed columns later. Ingestion also says what every record held: field, name, JSON
-type, whether the value was rescued, and a sketch of the value. The ledger is one row per file and field name out of
-that, so a hot lane or file is aggregated before anything is ordered.
+`replay` moves approved ones into typed columns later. Ingestion also says what every record held, under the names of
+its file: name, JSON type and value. The ledger is one row per file and field name out of that, with a sketch of the
+values, so a hot lane or file is aggregated before anything is ordered.
 
 A field that goes while another comes is the same content under another name if the names agree without case and
 punctuation; if the words of one name are among those of the other (or among the approved names of its column) and the
@@ -89,7 +89,9 @@ def ledger(ingested: DataFrame, file: str, lane: str, seq: str, aliases: dict =
     column, else the name without case and punctuation. A readable file without any field has one row, field null."""
     rec = ingested.where(F.col("_seen").isNotNull()).select(
         F.col(lane).alias("lane"), F.col(seq).alias("seq"), F.col(file).alias("file"), F.explode_outer("_seen").alias("e")
-    ).select("lane", "seq", "file", "e.*")
+    ).select("lane", "seq", "file", F.col("e.key").alias("name"), F.col("e.value").alias("value"))
+    text = F.when(~F.is_variant_null("value"), F.to_json("value"))
+    rec = rec.select("lane", "seq", "file", "name", json_type(F.col("value")).alias("type"), text.alias("text"))
     number = F.expr("try_cast(text AS double)")
     shape = F.regexp_replace(F.regexp_replace("text", "[0-9]", "9"), r"\p{L}", "a")
     h = F.xxhash64("text")
@@ -204,7 +206,7 @@ def ingest(
 ) -> DataFrame:
     """keep + the typed target columns + date + _rescued (JSON object text of unknown and uncastable fields, whose
     values are JSON texts; for an unreadable payload its text under the key _payload; null if nothing is left over) +
-    _seen (what the record held: field, name, JSON type, whether it was rescued, value as text; null if unreadable)."""
+    _seen (names and values as the record held them; null if unreadable)."""
     kept = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]  # no name of theirs can clash
     rec = opened(df.select(*kept, F.col(payload).alias("_payload")), "_payload")
     entries = F.transform(
@@ -228,13 +230,7 @@ def ingest(
     whole = F.to_json(F.create_map(F.lit("_payload"), F.col("_payload")))
     rescued = F.when(F.col("_fields").isNull() & F.col("_payload").isNotNull(), whole).when(F.size(left) > 0, F.to_json(texts))
     day = [utc_date(F.unix_seconds("_t_timestamp")).alias("date")] if "timestamp" in target else []
-    seen = F.transform(
-        "_e", lambda e: F.struct(
-            e["field"], e["name"], json_type(e["value"]).alias("type"),
-            (~e["field"].isin(list(target)) | F.array_contains(lost, e["field"])).alias("rescued"), F.when(~F.is_variant_null(e["value"]), F.to_json(e["value"])).alias("text"),
-        ),
-    )
-    return rec.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *out, *day, rescued.alias("_rescued"), seen.alias("_seen"))
+    return rec.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *out, *day, rescued.alias("_rescued"), F.map_entries("_fields").alias("_seen"))
 
 
 def replay(df: DataFrame, approved: dict[str, str], aliases: dict = ALIASES) -> DataFrame:
